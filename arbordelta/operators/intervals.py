@@ -66,7 +66,7 @@ def _clip(df: DataFrame, keys: list[str], start: str, stop: str, bits: int) -> D
 
 def _sweep(df: DataFrame, group: list[str]) -> DataFrame:
     """Adds run (number of the period in its group) and differ (it overlaps what came before)."""
-    order = Window.partitionBy(*group).orderBy("lo", "hi")
+    order = Window.partitionBy(*group).orderBy("lo", "hi", "shard")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     reached = F.max("hi").over(before)
     return (
@@ -91,32 +91,32 @@ def _levels(df: DataFrame, keys: list[str], start: str, stop: str, bits: int) ->
     return periods.where("inner"), swept
 
 
+def _with_gaps(periods: DataFrame, keep: list[str], is_period: Column) -> DataFrame:
+    """(keep, kind, from_version, to_version, differ): the periods for which is_period holds, and the gap before each."""
+    parts = F.array_compact(F.array(
+        F.when(is_period, F.struct(F.lit("period").alias("kind"), F.col("lo").alias("from_version"), F.col("hi").alias("to_version"), F.col("differ").alias("differ"))),
+        F.when(F.col("before").isNotNull(), F.struct(F.lit("gap").alias("kind"), F.col("before").alias("from_version"), F.col("lo").alias("to_version"), F.lit(False).alias("differ"))),
+    ))
+    return periods.select(*keep, F.explode(parts).alias("p")).select(*keep, "p.*")
+
+
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_version", stop: str = "stop_version", bits: int = SHARD_BITS) -> DataFrame:
     """(keys, kind, from_version, to_version, differ): kind `period` or `gap`; to_version is OPEN at an open end."""
     inner, swept = _levels(df, keys, start, stop, bits)
-    n_items = F.count(F.lit(1)).over(Window.partitionBy(*keys, "run"))
-    swept = swept.withColumn("_n", n_items)
-    covered = swept.where(F.col("inner") & (F.col("_n") > 1)).select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("shard").alias("_c_shard"))
-    runs = swept.groupBy(*keys, "run").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("differ").alias("differ"),
-        # An inner hull in a run with others lies in a shard that one interval covers: they share versions.
-        F.max(F.col("inner") & (F.col("_n") > 1)).alias("swallowed"), F.min("inner").alias("only_inner"))
-    before = F.lag("hi").over(Window.partitionBy(*keys).orderBy("lo"))
-    runs = runs.withColumn("before", before)
-    none = F.lit(False)
-    stitched = runs.where(~F.col("only_inner")).select(*keys, F.lit("period").alias("kind"), F.col("lo").alias("from_version"), F.col("hi").alias("to_version"), (F.col("differ") | F.col("swallowed")).alias("differ"))
-    between = runs.where(F.col("before").isNotNull()).select(*keys, F.lit("gap").alias("kind"), F.col("before").alias("from_version"), F.col("lo").alias("to_version"), none.alias("differ"))
+    swept = swept.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")))
+    # An inner hull in a run with others lies in a shard that one interval covers: they share versions.
+    swallowed = F.col("inner") & F.col("differ") & (F.col("_n") > 1)
+    covered = swept.where(swallowed).select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("shard").alias("_c_shard"))
+    runs = swept.groupBy(*keys, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("differ").alias("differ"), F.min("inner").alias("only_inner"))
+    runs = runs.withColumn("before", F.lag("hi").over(Window.partitionBy(*keys).orderBy("lo")))
+    stitched = _with_gaps(runs, keys, ~F.col("only_inner"))
     local = Window.partitionBy(*keys, "shard", "span").orderBy("lo")
-    parts = F.array_compact(F.array(
-        F.struct(F.lit("period").alias("kind"), F.col("lo").alias("from_version"), F.col("hi").alias("to_version"), F.col("differ").alias("differ")),
-        F.when(F.col("before").isNotNull(), F.struct(F.lit("gap").alias("kind"), F.col("before").alias("from_version"), F.col("lo").alias("to_version"), none.alias("differ"))),
-    ))
-    within = inner.withColumn("before", F.lag("hi").over(local)).select(*keys, "shard", F.explode(parts).alias("p")).select(*keys, "shard", "p.*")
+    within = _with_gaps(inner.withColumn("before", F.lag("hi").over(local)), [*keys, "shard"], F.lit(True))
     same = F.col("shard") == F.col("_c_shard")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
     within = within.join(covered, same, "left_anti").drop("shard")
-    return stitched.unionByName(between).unionByName(within)
+    return stitched.unionByName(within)
 
 
 def merged_and_gaps(objects: DataFrame, bits: int = SHARD_BITS) -> DataFrame:
