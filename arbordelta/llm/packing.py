@@ -9,9 +9,10 @@ In a shard the large lengths are sorted into groups of equal number, each
 rounded up to its longest member.  For these few sizes the best mix of container
 configurations is found by column generation (a linear program over
 configurations, priced by an unbounded knapsack).  Whole multiples of the
-configurations are opened, what remains is fitted largest first, and the actual
-items, never longer than their rounded size, are substituted.  Small items then
-go to the fullest container that takes them.
+configurations are opened, the actual items, never longer than their rounded
+size, are substituted, and what remains, the small items last, goes to the
+fullest container that takes it.  Where rounding costs a shard more containers
+than plain best fit of the whole shard would, the latter's result stands.
 
 Defined results.  Null or negative lengths are 0.  Items of length 0 are in one
 container, too.  Rows with an equal key are one item, of the greatest length.  A
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 #: Lengths above capacity / SMALL are large.
 SMALL = 16
-GROUPS = 24
+GROUPS = 64
+#: The knapsack counts capacity in at most so many units.
+UNITS = 16_384
 SHARD_ITEMS = 20_000
 
 
@@ -56,8 +59,12 @@ def _best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) ->
     return counts
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 200) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """Configurations and how many whole containers of each to open."""
+    unit = -(-capacity // UNITS)
+    sizes, capacity = -(-sizes // unit), capacity // unit  # rounded up and down: what fits here fits
+    if sizes.max() > capacity:  # a length between the last unit and the capacity stands alone
+        sizes = np.minimum(sizes, capacity)
     n = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     amount = demand / np.diag(basis)
@@ -89,9 +96,22 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return chosen
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
-    """The container's number of each length; all lengths are at most the capacity."""
-    lengths = np.asarray(lengths, np.int64)
+def _best_fit(lengths: np.ndarray, which: np.ndarray, container: np.ndarray, room: list[int], capacity: int) -> None:
+    """Puts the lengths at `which`, longest first, into the fullest container that takes each."""
+    free = sorted((r, i) for i, r in enumerate(room))
+    for i in which[np.argsort(-lengths[which], kind="stable")].tolist():
+        need = int(lengths[i])
+        at = bisect_left(free, (need, -1))
+        if at < len(free):
+            left, c = free.pop(at)
+        else:
+            left, c = capacity, len(room)
+            room.append(capacity)
+        container[i] = c
+        insort(free, (left - need, c))
+
+
+def _grouped(lengths: np.ndarray, capacity: int, groups: int, small: int) -> tuple[np.ndarray, int]:
     container = np.full(len(lengths), -1, np.int64)
     room: list[int] = []
     large = np.flatnonzero(lengths * small > capacity)
@@ -108,20 +128,17 @@ def pack_lengths(lengths: np.ndarray, capacity: int, groups: int = GROUPS, small
                     container[take] = len(room)
                     free -= int(lengths[take].sum())
                 room.append(free)
-    rest = np.flatnonzero(container < 0)
-    rest = rest[np.argsort(-lengths[rest], kind="stable")]
-    free = sorted((r, i) for i, r in enumerate(room))
-    for i in rest.tolist():
-        need = int(lengths[i])
-        at = bisect_left(free, (need, -1))
-        if at < len(free):
-            left, c = free.pop(at)
-        else:
-            left, c = capacity, len(room)
-            room.append(capacity)
-        container[i] = c
-        insort(free, (left - need, c))
-    return container
+    _best_fit(lengths, np.flatnonzero(container < 0), container, room, capacity)
+    return container, len(room)
+
+
+def pack_lengths(lengths: np.ndarray, capacity: int, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
+    """The container's number of each length; all lengths are at most the capacity."""
+    lengths = np.asarray(lengths, np.int64)
+    grouped, n = _grouped(lengths, capacity, groups, small)
+    plain, room = np.full(len(lengths), -1, np.int64), []
+    _best_fit(lengths, np.arange(len(lengths)), plain, room, capacity)
+    return grouped if n <= len(room) else plain
 
 
 def pack_items(items: DataFrame, keys: list[str], length: Column, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
