@@ -7,6 +7,7 @@ that is replayed after a failure changes nothing.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arbordelta.operators.mutate import update_batch
@@ -29,8 +30,8 @@ def apply_to_store(store: Store, batch: DataFrame, stream: str | None = None, nu
                 if attempt == tries - 1:
                     raise
                 continue
-            named = batch.select("project").distinct()
-            return store.table("projects", done).join(named, store.table("projects", done)["id"] == named["project"]).select("project", "latest_version")
+            named = batch.select(F.col("project").alias("_p")).distinct()
+            return store.table("projects", done).join(named, F.col("id") == F.col("_p")).select(F.col("id").alias("project"), F.col("latest_version").alias("version"))
     finally:
         batch.unpersist()
 
