@@ -193,6 +193,7 @@ def shared_stretches(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows)), pa.array(list(rows.values()), pa.string())], [*fields, "text"])
 
     reps = texts.join(wanted, "doc_id").select("text", "want").mapInArrow(cut_out, ", ".join(f"{f} long" for f in fields) + ", text string")
+    reps = written(reps, "representatives")
     few = reps.where(F.col("classes") <= block).dropDuplicates(["minhash", "whole"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
