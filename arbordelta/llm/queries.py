@@ -49,15 +49,20 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_characters(shared_spans.shared_stretches(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tar_placements, p2_object_placements, p7_ids, p8_found, p8_spans, p9_found, p9_shared)}
+def p9_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.clusters(table(spark, sf_dir, "documents"))
 
-_SHARED = """
-with passages as (
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_tar_placements, p2_object_placements, p7_ids, p8_found, p8_spans, p9_found, p9_shared, p9_clusters)}
+
+_PASSAGES = """
+passages as (
   select doc_id, i, substring(text, i, 300) as s
   from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300) t),
-found as (select s from passages group by s having min(doc_id) < max(doc_id)),
+found as (select s, min(doc_id) as low from passages group by s having min(doc_id) < max(doc_id)),
 hits as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from passages p join found f on f.s = p.s)
 """
+_SHARED = f"with {_PASSAGES.strip()}\n"
 
 ORACLE = {
     "p2_found": "select distinct tar_id from tar_objects where octet_length(content) > 16384",
@@ -71,4 +76,10 @@ select distinct dp.id as doc_id, bp.id as item_id from dp join bp on dp.s = bp.s
     "p9_shared": _SHARED + """
 select doc_id, cast(sum(least(300, i - coalesce(before, i - 300))) as bigint) as shared_chars,
   cast(count(*) filter (where before is null or i - before > 300) as bigint) as spans from hits group by doc_id""",
+    "p9_clusters": f"""
+with recursive {_PASSAGES.strip()},
+links as (select distinct p.doc_id as a, f.low as b from passages p join found f on f.s = p.s),
+both_ as (select a, b from links union select b, a from links),
+reach(a, b) as (select a, b from both_ union select r.a, x.b from reach r join both_ x on x.a = r.b)
+select a as doc_id, min(b) as cluster from reach group by a""",
 }

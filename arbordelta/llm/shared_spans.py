@@ -28,12 +28,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbordelta.llm.components import components
 from arbordelta.sources.scratch import written
 
 SPAN = 300
@@ -126,10 +128,11 @@ def paragraphs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, section
     return documents.select("doc_id", "text").mapInArrow(cut, "doc_id long, minhash long, whole long, first long, passages long")
 
 
-def _ranges(keys: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index ranges [from, to) of runs of hits with the same key."""
+def _ranges(hit: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index ranges [from, to) of runs of hits with the same keys."""
     padded = np.concatenate([[False], hit, [False]])
-    turn = np.concatenate([[True], keys[1:] != keys[:-1], [True]])
+    turn = np.ones(len(hit) + 1, bool)
+    turn[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     begin = padded[1:-1] & (~padded[:-2] | turn[:-1])
     end = padded[1:-1] & (~padded[2:] | turn[1:])
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
@@ -147,25 +150,36 @@ def _passages(batch: pa.RecordBatch | pa.Table, span: int) -> tuple[np.ndarray,
 
 
 def _compare(group: pa.Table, span: int) -> pa.RecordBatch:
-    """Shared passages of representatives of whole MinHash groups: (minhash, whole, from_passage, to_passage)."""
+    """Shared passages of representatives of whole MinHash groups: (minhash, whole, from_passage, to_passage, own_doc, with_doc)."""
     row, offset, key = _passages(group, span)
     minhash, whole = np.asarray(group["minhash"])[row], np.asarray(group["whole"])[row]
     low, high = np.asarray(group["low_doc"])[row], np.asarray(group["high_doc"])[row]
     order = np.lexsort((key, minhash))
     head = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (minhash[order][1:] != minhash[order][:-1])])
     at = np.flatnonzero(head)
-    shared = np.minimum.reduceat(low[order], at) < np.maximum.reduceat(high[order], at)
-    hit = np.empty(len(row), bool)
-    hit[order] = np.repeat(shared, np.diff(np.append(at, len(row))))
-    a, b = _ranges(row, hit)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (minhash[a], whole[a], offset[a], offset[b - 1] + 1)], ["minhash", "whole", "from_passage", "to_passage"])
+    times = np.diff(np.append(at, len(row)))
+    least, most = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(low[order], at), times)
+    most[order] = np.repeat(np.maximum.reduceat(high[order], at), times)
+    other = np.where(low == least, most, least)
+    a, b = _ranges(least < most, row, other)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (minhash[a], whole[a], offset[a], offset[b - 1] + 1, low[a], other[a])], _RESULT_NAMES)
 
 
-def shared_stretches(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK, section: int = SECTION) -> DataFrame:
-    """(doc_id, from_char, to_char, key): stretches that occur in other documents, not merged.
+_RESULT_NAMES = ["minhash", "whole", "from_passage", "to_passage", "own_doc", "with_doc"]
 
-    Stretches with an equal key hold a common passage.
+
+class Shared(NamedTuple):
+    """stretches: (doc_id, from_char, to_char), not merged; links: (own_doc, with_doc) of documents that share a passage.
+
+    Links connect all documents that share a passage, each to the least or greatest of them.
     """
+
+    stretches: DataFrame
+    links: DataFrame
+
+
+def find_shared(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK, section: int = SECTION) -> Shared:
     every = written(paragraphs(documents, span, gram, section), "paragraphs")
     colliding = every.groupBy("minhash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("minhash")
     collisions = written(every.join(colliding, "minhash"), "collisions")
@@ -211,7 +225,7 @@ def shared_stretches(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
         if held:
             yield _compare(pa.Table.from_batches(held), span)
 
-    result = "minhash long, whole long, from_passage long, to_passage long"
+    result = ", ".join(f"{n} long" for n in _RESULT_NAMES)
     in_task = few.repartition("minhash").sortWithinPartitions("minhash").mapInArrow(compare, result)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +238,30 @@ def shared_stretches(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
 
     # The representatives of one of the many MinHashes with more classes than a task should hold.
     split = reps.where(F.col("classes") > block).mapInArrow(emit, "minhash long, whole long, low_doc long, high_doc long, from_passage long, passage long")
-    met = split.groupBy("minhash", "passage").agg(F.min("low_doc").alias("a"), F.max("high_doc").alias("b")).where("a < b").select("minhash", "passage")
-    across = split.join(met, ["minhash", "passage"]).select("minhash", "whole", "from_passage", (F.col("from_passage") + 1).alias("to_passage"))
-    parts = in_task.unionByName(across)
-
-    equal = collisions.join(named.where("low_doc < high_doc").select("minhash", "whole"), ["minhash", "whole"]).select(
-        "doc_id", F.col("first").alias("from_char"), (F.col("first") + F.col("passages") - 1 + span).alias("to_char"), "minhash")
-    alone = collisions.join(parts.join(named.where("low_doc = high_doc").select("minhash", "whole"), ["minhash", "whole"]), ["minhash", "whole"]).select(
-        "doc_id", (F.col("first") + F.col("from_passage")).alias("from_char"), (F.col("first") + F.col("to_passage") - 1 + span).alias("to_char"), "minhash")
-    return equal.unionByName(alone)
+    met = split.groupBy("minhash", "passage").agg(F.min("low_doc").alias("a"), F.max("high_doc").alias("b")).where("a < b")
+    other = F.when(F.col("low_doc") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    across = split.join(met, ["minhash", "passage"]).select(
+        "minhash", "whole", "from_passage", (F.col("from_passage") + 1).alias("to_passage"), F.col("low_doc").alias("own_doc"), other.alias("with_doc"))
+    parts = written(in_task.unionByName(across), "parts")
+
+    same_class = collisions.join(named.where("low_doc < high_doc").select("minhash", "whole", "low_doc"), ["minhash", "whole"])
+    equal = same_class.select("doc_id", F.col("first").alias("from_char"), (F.col("first") + F.col("passages") - 1 + span).alias("to_char"))
+    single = parts.join(named.where("low_doc = high_doc").select("minhash", "whole"), ["minhash", "whole"])
+    alone = collisions.join(single, ["minhash", "whole"]).select(
+        "doc_id", (F.col("first") + F.col("from_passage")).alias("from_char"), (F.col("first") + F.col("to_passage") - 1 + span).alias("to_char"))
+    links = same_class.select(F.col("doc_id").alias("own_doc"), F.col("low_doc").alias("with_doc")).unionByName(parts.select("own_doc", "with_doc"))
+    return Shared(equal.unionByName(alone), links)
+
+
+def shared_stretches(documents: DataFrame, *args, **settings) -> DataFrame:
+    """(doc_id, from_char, to_char): stretches that occur in other documents, not merged."""
+    return find_shared(documents, *args, **settings).stretches
+
+
+def clusters(documents: DataFrame, *args, **settings) -> DataFrame:
+    """(doc_id, cluster): documents that share a passage, directly or through others; cluster is the least doc_id."""
+    found = components(find_shared(documents, *args, **settings).links, "own_doc", "with_doc")
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
 
 def shared_characters(stretches: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from arbordelta.llm.shared_spans import Rolling, _codes, paragraphs_of, shared_characters, shared_stretches
+from arbordelta.llm.components import components
+from arbordelta.llm.shared_spans import Rolling, _codes, clusters, paragraphs_of, shared_characters, shared_stretches
 
 
 def brute(docs, n):
@@ -39,6 +40,43 @@ def test_against_brute_force(spark, settings):
         assert {r.doc_id: r.shared_chars for r in got} == brute(docs, span), (span, gram)
 
 
+def roots(pairs):
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in up}
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 2}])
+def test_clusters(spark, settings):
+    docs = cases()
+    span = 40
+    owners = {}
+    for d, t in docs:
+        for a in range(len(t or "") - span + 1):
+            owners.setdefault(t[a:a + span], set()).add(d)
+    want = roots([(min(o), d) for o in owners.values() if len(o) > 1 for d in o if d != min(o)])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.cluster for r in clusters(df, span, 20, **settings).collect()} == want
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    pairs = chain + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(7, 7), (500, 900), (900, 500), (300, 301)] + [(1000, i) for i in range(1001, 1100)]
+    rng.shuffle(pairs)
+    df = spark.createDataFrame([*pairs, (None, 3), (4, None)], "a long, b long")
+    assert {r.node: r.component for r in components(df, "a", "b").collect()} == roots([p for p in pairs if p[0] != p[1]])
+    assert components(df.limit(0), "a", "b").count() == 0
+
+
 def test_repeated_rows_and_ids(spark):
     text = "".join(random.Random(1).choice("abc") for _ in range(100))
     rows = [(1, text), (1, text), (1, text[::-1]), (2, "q" * 50 + text[20:70]), (None, text)]
