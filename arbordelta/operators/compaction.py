@@ -27,21 +27,24 @@ import json
 import os
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordelta.schema import DIR_BIT, LINK_BIT
+from arbordelta.sources.scratch import written
 
 
 @dataclass(frozen=True)
 class TierPolicy:
-    """limits[i]: inputs of level i are below it; targets[i]: bytes of its packs."""
+    """limits[i]: inputs of level i are below it; targets[i]: bytes of its packs; max_inputs: what one pack takes in at most, about."""
 
     limits: tuple[int, ...] = (4096, 65536, 1048576)
     targets: tuple[int, ...] = (65536, 1048576, 16777216)
     min_files: int = 16
     min_inputs: int = 2
+    max_inputs: int = 65536
 
 
 DEFAULT_POLICY = TierPolicy()
@@ -88,38 +91,46 @@ def _pack_id(level: int, *parts: Column) -> Column:
     return F.concat(F.lit(f"L{level}-"), F.md5(F.concat_ws("\1", *text)))
 
 
-def _slots(n_bytes: Column, target: int) -> Column:
-    return F.greatest(F.lit(1).cast("long"), F.ceil(n_bytes / F.lit(target)).cast("long"))
+def _slots(n_bytes: Column, n_inputs: Column, level: int, policy: TierPolicy) -> Column:
+    """How many packs a bucket gets."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(n_bytes / F.lit(policy.targets[level])).cast("long"), F.ceil(n_inputs / F.lit(policy.max_inputs)).cast("long"))
 
 
-def plan_compaction(objects: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame]:
-    """(placements, journal).
+class Plan(NamedTuple):
+    """placements: (project, path, hash, size, pack_id), one row per live file that a pack takes in.
 
-    placements: (project, path, hash, size, pack_id), one row per live file that
-    a pack takes in.  journal: (txn_id, level, project, output, n_inputs,
-    n_bytes, inputs_digest), one row per merge.
+    journal: (txn_id, level, project, output, n_inputs, n_bytes, inputs_digest), one row per merge.
+    inputs: (level, output, input), one row per input of a merge; files are named F-<digest of project and path>.
     """
+
+    placements: DataFrame
+    journal: DataFrame
+    inputs: DataFrame
+
+
+def plan_compaction(objects: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> Plan:
     files = live_files(objects).withColumn("dir_path", directory(F.col("path")))
     due = triggered_directories(objects, policy).select("project", "dir_path", F.lit(True).alias("due"))
     small = files.where(F.col("size") < policy.limits[0])
-    room = small.groupBy("project", "dir_path").agg(F.sum("size").alias("dir_bytes"))
-    slots = due.join(room, _same("project", "dir_path", due, room)).select(due.project, due.dir_path, _slots(F.col("dir_bytes"), policy.targets[0]).alias("slots"))
+    room = small.groupBy("project", "dir_path").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("inputs"))
+    slots = due.join(room, due["project"].eqNullSafe(room["project"]) & (due["dir_path"] == room["dir_path"])).select(
+        due["project"], due["dir_path"], _slots(F.col("bytes"), F.col("inputs"), 0, policy).alias("slots"))
     f, s = files.alias("f"), slots.alias("s")
     merged = (F.col("s.slots").isNotNull()) & (F.col("f.size") < policy.limits[0])
+    file_id = F.concat(F.lit("F-"), F.md5(F.concat_ws("\1", F.coalesce(F.col("f.project").cast("string"), F.lit("\0")), F.col("f.path"))))
     assigned = f.join(s, F.col("f.project").eqNullSafe(F.col("s.project")) & (F.col("f.dir_path") == F.col("s.dir_path")), "left").select(
-        "f.project", "f.path", "f.hash", "f.size",
-        F.when(merged, _pack_id(0, F.col("f.project"), F.col("f.dir_path"), F.pmod(F.xxhash64("f.path"), F.col("s.slots"))))
-        .otherwise(F.concat(F.lit("F-"), F.md5(F.concat_ws("\1", F.coalesce(F.col("f.project").cast("string"), F.lit("\0")), F.col("f.path"))))).alias("item"),
-    )
+        "f.project", "f.path", "f.hash", "f.size", file_id.alias("file"),
+        F.when(merged, _pack_id(0, F.col("f.project"), F.col("f.dir_path"), F.pmod(F.xxhash64("f.path"), F.col("s.slots")))).otherwise(file_id).alias("item"))
     items = assigned.groupBy("project", "item").agg(
         F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path", "hash")).alias("digest"))
+    inputs = [assigned.where(F.col("item") != F.col("file")).select(F.lit(0).alias("level"), F.col("item").alias("output"), F.col("file").alias("input"))]
     journal = [_transactions(0, items.where(F.col("item").startswith("L0-")).withColumnRenamed("item", "output"))]
     chain = items.select("project", "item", F.col("item").alias("pack_id"))
     current = items.select("project", F.col("item").alias("pack_id"), "size")
     for level in range(1, len(policy.limits)):
         below = F.col("size") < policy.limits[level]
         stats = current.where(below).groupBy("project").agg(F.count(F.lit(1)).alias("inputs"), F.sum("size").alias("bytes"))
-        stats = stats.where(F.col("inputs") >= policy.min_inputs).select(F.col("project").alias("p"), _slots(F.col("bytes"), policy.targets[level]).alias("slots"))
+        stats = stats.where(F.col("inputs") >= policy.min_inputs).select(F.col("project").alias("p"), _slots(F.col("bytes"), F.col("inputs"), level, policy).alias("slots"))
         moved = current.join(stats, F.col("project").eqNullSafe(F.col("p")), "left").withColumn(
             "next",
             F.when(F.col("slots").isNotNull() & below, _pack_id(level, F.col("project"), F.pmod(F.xxhash64("pack_id"), F.col("slots"))))
@@ -127,17 +138,13 @@ def plan_compaction(objects: DataFrame, policy: TierPolicy = DEFAULT_POLICY) ->
         merged_items = moved.groupBy("project", "next").agg(
             F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pack_id")).alias("digest"))
         journal.append(_transactions(level, merged_items.where(F.col("next").startswith(f"L{level}-")).withColumnRenamed("next", "output")))
+        inputs.append(moved.where(F.col("next") != F.col("pack_id")).select(F.lit(level).alias("level"), F.col("next").alias("output"), F.col("pack_id").alias("input")))
         step = moved.select(F.col("pack_id").alias("old"), "next")
         chain = chain.join(step, F.col("pack_id") == F.col("old")).select("project", "item", F.col("next").alias("pack_id"))
         current = merged_items.select("project", F.col("next").alias("pack_id"), "size")
     final = chain.select(F.col("item").alias("i"), "pack_id").where(F.col("pack_id").startswith("L"))
     placements = assigned.join(final, F.col("item") == F.col("i")).select("project", "path", "hash", "size", "pack_id")
-    return placements, reduce(DataFrame.unionByName, journal)
-
-
-def _same(*names_and_frames) -> Column:
-    *names, a, b = names_and_frames
-    return reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
+    return Plan(placements, reduce(DataFrame.unionByName, journal), reduce(DataFrame.unionByName, inputs))
 
 
 def _transactions(level: int, merges: DataFrame) -> DataFrame:
@@ -177,6 +184,10 @@ class CompactionStore:
         paths = [f"{self.root}/txns/{r}" for r in self.runs()]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def inputs(self) -> DataFrame | None:
+        paths = [f"{self.root}/inputs/{r}" for r in self.runs()]
+        return self.spark.read.parquet(*paths) if paths else None
+
     def packs(self) -> DataFrame | None:
         """The live files of the last published run: (project, path, hash, size, pack_id, bytes)."""
         if not (runs := self.runs()):
@@ -187,11 +198,12 @@ class CompactionStore:
 
     def run(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> str | None:
         """Compacts; returns the run's id, or None if there was nothing new."""
-        placements, journal = plan_compaction(objects, policy)
+        plan = plan_compaction(objects, policy)
+        placements = written(plan.placements, "placements")
         # A file's bytes are written with the pack that holds it at the end; its txn covers the whole chain below it.
-        sums = placements.groupBy("pack_id").agg(F.md5(F.concat_ws(
+        sums = written(placements.groupBy("pack_id").agg(F.md5(F.concat_ws(
             "\1", F.count(F.lit(1)), F.sum("size"), F.bit_xor(F.xxhash64("project", "path", "hash", "size")),
-            F.bit_xor(F.xxhash64("hash", "path", "size", "project")))).alias("txn_id"))
+            F.bit_xor(F.xxhash64("hash", "path", "size", "project")))).alias("txn_id")), "sums")
         head = sums.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("pack_id", "txn_id")), F.bit_xor(F.xxhash64("txn_id", "pack_id"))).first()
         run_id = f"{head[0]:x}x{(head[1] or 0) & (2**64 - 1):016x}{(head[2] or 0) & (2**64 - 1):016x}"
         done = self.runs()
@@ -206,7 +218,8 @@ class CompactionStore:
         rows = placements.join(fresh, "pack_id").withColumn("k", F.lower(F.trim("hash")))
         rows = rows.join(bytes_by_hash, F.col("k") == F.col("h"), "left").select("project", "path", "hash", "size", "pack_id", "txn_id", "bytes")
         rows.repartitionByRange("pack_id", "path").sortWithinPartitions("pack_id", "path").write.mode("overwrite").parquet(f"{self.root}/packs/{run_id}")
-        journal.write.mode("overwrite").parquet(f"{self.root}/txns/{run_id}")
+        plan.journal.write.mode("overwrite").parquet(f"{self.root}/txns/{run_id}")
+        plan.inputs.write.mode("overwrite").parquet(f"{self.root}/inputs/{run_id}")
         self._publish(run_id, len(done), head[0])
         return run_id
 

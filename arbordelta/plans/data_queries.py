@@ -14,13 +14,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placements, _ = compaction.plan_compaction(table(spark, sf_dir, "objects"))
-    return placements.select("project", "path", "size", "pack_id")
+    return compaction.plan_compaction(table(spark, sf_dir, "objects")).placements.select("project", "path", "size", "pack_id")
 
 
 def p1_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, journal = compaction.plan_compaction(table(spark, sf_dir, "objects"))
-    return journal.select("txn_id", "level", "project", "output", "n_inputs", "n_bytes")
+    return compaction.plan_compaction(table(spark, sf_dir, "objects")).journal.select("txn_id", "level", "project", "output", "n_inputs", "n_bytes")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

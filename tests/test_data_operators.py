@@ -37,13 +37,17 @@ def test_triggered_directories(spark):
 
 def test_compaction_places_each_file_once(spark):
     df = spark.createDataFrame(dirty_objects(), OBJECT)
-    placements, journal = compaction.plan_compaction(df)
+    placements, journal, inputs = compaction.plan_compaction(df)
     got = [tuple(r) for r in placements.select("project", "path", "hash", "size").collect()]
     assert len({r[:2] for r in got}) == len(got)
     assert set(got) <= {tuple(r) for r in compaction.live_files(df).select("project", "path", "hash", "size").collect()}
     assert (4, "two", "new", 7) in got and len([r for r in got if r[0] == 1]) >= 16 + 15
     steps = journal.collect()
     assert len({r.txn_id for r in steps}) == len(steps) and {r.level for r in steps} >= {0, 1, 2}
+    named = {}
+    for r in inputs.collect():
+        named.setdefault((r.level, r.output), set()).add(r.input)
+    assert {(r.level, r.output): r.n_inputs for r in steps} == {k: len(v) for k, v in named.items()}
     again = compaction.plan_compaction(df.union(df).orderBy("path"))[1].collect()
     assert {r.txn_id for r in again} == {r.txn_id for r in steps}
     empty = compaction.plan_compaction(spark.createDataFrame([], OBJECT))
@@ -64,7 +68,7 @@ def test_compaction_store_is_idempotent(spark, tmp_path):
     more = [*rows, *[obj(project=9, path=f"z/{i}", hash="new") for i in range(30)]]
     assert store.run(spark.createDataFrame(more, OBJECT), contents) not in (None, first)
     assert key(store.packs()) == key(compaction.plan_compaction(spark.createDataFrame(more, OBJECT))[0])
-    assert len(store.runs()) == 2 and store.journal().count() > 0
+    assert len(store.runs()) == 2 and store.journal().count() > 0 and store.inputs().count() > 0
 
 
 def model_changes(requests, projects):
