@@ -219,8 +219,8 @@ def reset(state: State, versions: Sequence[tuple[int, int]] = ()) -> State:
     if not versions:
         return State(*(df.limit(0) for df in (state.projects, state.objects, state.contents)))
     at = state.projects.sparkSession.createDataFrame(list(versions), "_p long, _v long")
-    objects = rollback_objects(state.objects.join(F.broadcast(at), F.col("project") == F.col("_p")), F.col("_v")).drop("_p", "_v")
-    projects = state.projects.join(F.broadcast(at), F.col("id") == F.col("_p")).withColumn("latest_version", F.col("_v")).drop("_p", "_v")
+    objects = rollback_objects(state.objects.join(at, F.col("project") == F.col("_p")), F.col("_v")).drop("_p", "_v")
+    projects = state.projects.join(at, F.col("id") == F.col("_p")).withColumn("latest_version", F.col("_v")).drop("_p", "_v")
     return replace(state, objects=objects, projects=projects)
 
 

@@ -25,7 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbordelta.functions.paths import is_dir, is_link
+from arbordelta.operators.cache import with_cached
 from arbordelta.operators.packs import Member, encode_pack
+from arbordelta.operators.reads import ObjectQuery, with_content
+from arbordelta.operators.temporal import diff
 from arbordelta.sources.scratch import written
 
 #: Fixed value: a chunk ends once it holds more.
@@ -132,6 +135,35 @@ def tar_chunks(rows: DataFrame, limit: int = TARGET_BYTES, segments: int | None
     return folded.select("project", "path", "chunk", "bytes_so_far", F.lit(None).cast("string").alias("pack_path")).unionByName(alone.withColumn("pack_path", F.col("path")))
 
 
+def get_tars(
+    objects: DataFrame, contents: DataFrame, cache_versions: DataFrame, query: ObjectQuery, start: int, to: int,
+    cached: list[int] | None = None, compat_tombstones: bool = False, limit: int = TARGET_BYTES,
+) -> DataFrame:
+    """(project, chunk, pack_path, bytes): TARs that lead from `start` to `to`.
+
+    A pack that none of the `cached` versions names is sent as it is, with its
+    pack_path and no chunk; a named one is an entry that holds its hash.  With
+    compat_tombstones, tombstones are sent whatever path the query asks for.
+    """
+    if compat_tombstones and start:
+        changes = diff(objects, start, to)
+        changes = changes.where(F.col("deleted") | query.path_filter())
+    else:
+        changes = diff(objects, start, to, query.path_filter())
+    rows = with_cached(changes, cache_versions, cached or [])
+    rows = rows.withColumn("is_cached", F.col("is_cached") & F.col("packed") & ~F.col("deleted")).withColumn("alone", F.col("packed") & ~F.col("is_cached") & ~F.col("deleted"))
+    needed = rows.withColumn("_hash", F.col("hash")).withColumn("hash", F.when(~F.col("deleted") & ~F.col("is_cached"), F.col("hash")))
+    full = with_content(needed, contents).withColumn("hash", F.col("_hash")).drop("_hash")
+    # The fold sees paths and lengths only; contents are joined to their chunks afterwards.
+    lengths = contents.select(F.col("hash").alias("_h"), F.octet_length("bytes").alias("_n"))
+    measured = rows.join(lengths, F.col("hash") == F.col("_h"), "left")
+    size = F.when(F.col("is_cached"), F.lit(32)).otherwise(F.col("_n"))
+    placed = tar_chunks(measured.select("project", "path", "alone", accounted(F.col("path"), F.col("mode"), size, F.col("deleted")).alias("bytes")), limit)
+    in_chunks = full.where(~F.col("alone")).join(placed.where("pack_path is null").select("project", "path", "chunk").distinct(), ["project", "path"])
+    whole = full.where("alone").select("project", F.lit(None).cast("long").alias("chunk"), F.col("path").alias("pack_path"), F.col("content").alias("bytes"))
+    return tar_bytes(in_chunks).select("project", "chunk", F.lit(None).cast("string").alias("pack_path"), "bytes").unionByName(whole)
+
+
 def tar_bytes(objects: DataFrame) -> DataFrame:
     """(project, chunk, path, mode, size, deleted, is_cached, hash, content) to (project, chunk, bytes), one TAR for each chunk."""
 

@@ -343,6 +343,12 @@ def tar_bytes(spark, sf_dir):
     return tarstream.tar_bytes(sized.drop("alone", "bytes").join(chunks, ["project", "path"]))
 
 
+@query()
+def get_tars(spark, sf_dir):
+    t = given(spark, sf_dir)
+    return tarstream.get_tars(t.objects, t.contents, t.cache_versions, ObjectQuery(is_prefix=True), 10, 20, [2]).select("project", "chunk", "pack_path", F.octet_length("bytes").alias("n_bytes"))
+
+
 _CHUNKS = """
 with recursive rows_ as (
   select project, path, cast(case when mode & 2147483648 <> 0 or mode & 134217728 <> 0 then 0 else strlen(path) + greatest(coalesce(size, 0), 0) end as bigint) as n,
