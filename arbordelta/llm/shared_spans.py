@@ -41,7 +41,7 @@ from arbordelta.sources.scratch import written
 SPAN = 300
 GRAM = 150
 #: Classes of one MinHash that one task compares.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 SECTION = 1 << 20
 #: Paragraphs compared at once.
 AT_ONCE = 1 << 14
