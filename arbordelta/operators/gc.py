@@ -29,8 +29,11 @@ def gc_rows(objects: DataFrame, projects: DataFrame, keep: int, start: int = 0)
 
 
 def orphans(hashes: DataFrame, objects: DataFrame) -> DataFrame:
-    """The distinct hashes that no object refers to."""
-    return hashes.select("hash").distinct().join(objects.select("hash"), "hash", "left_anti")
+    """The distinct hashes that no object refers to.
+
+    Both sides are folded first: a hash that most objects have is one row per task.
+    """
+    return hashes.select("hash").distinct().join(objects.select("hash").distinct(), "hash", "left_anti")
 
 
 def gc(state: State, projects: DataFrame, keep: int, start: int = 0) -> tuple[State, DataFrame]:

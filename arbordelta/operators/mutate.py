@@ -120,7 +120,7 @@ def update_objects(objects: DataFrame, batch: DataFrame, versions: DataFrame) ->
     gone = batch.where(F.coalesce("deleted", F.lit(False))).select("project", "path").distinct()
     after = close_rows(objects, gone, versions)
     writes = last_writes(batch).withColumn("hash", content_hash(F.col("content"))).join(versions, "project")
-    live = after.where(F.col("stop_version").isNull()).select("project", "path", "hash", "mode")
+    live = after.where(F.col("stop_version").isNull()).select("project", "path", "hash", "mode").distinct()
     inserted = writes.join(live, ["project", "path", "hash", "mode"], "left_anti").select(
         "project", F.col("version").alias("start_version"), _null_version().alias("stop_version"), "path", "hash", "mode", "size", F.lit(False).alias("packed"))
     retired = inserted.select("project", F.explode(retired_keys(F.col("path"))).alias("path")).distinct()

@@ -168,10 +168,11 @@ def tar_bytes(objects: DataFrame) -> DataFrame:
     """(project, chunk, path, mode, size, deleted, is_cached, hash, content) to (project, chunk, bytes), one TAR for each chunk."""
 
     def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("path")
-        members = [
-            Member(r.path, int(r.mode), int(r.size_), bool(r.deleted), bytes.fromhex(r.hash) if r.is_cached else r.content, bool(r.is_cached))
-            for r in frame.rename(columns={"size": "size_"}).itertuples()]
-        return pd.DataFrame([(*key, encode_pack(members))], columns=["project", "chunk", "bytes"])
+        rows = frame.sort_values("path")[["path", "mode", "size", "deleted", "content", "is_cached"]]
+        return pd.DataFrame([(*key, encode_pack(Member(*r) for r in rows.itertuples(index=False, name=None)))], columns=["project", "chunk", "bytes"])
 
+    none = F.lit(0).cast("long")
+    objects = objects.where(F.col("path").isNotNull()).select(
+        "project", "chunk", "path", F.coalesce("mode", none).alias("mode"), F.coalesce("size", none).alias("size"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
+        F.when(F.col("is_cached"), F.unhex("hash")).otherwise(F.col("content")).alias("content"), F.coalesce("is_cached", F.lit(False)).alias("is_cached"))
     return objects.groupBy("project", "chunk").applyInPandas(write, "project long, chunk long, bytes binary")

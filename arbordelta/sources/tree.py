@@ -130,7 +130,7 @@ def write_object(root: str, path: str, mode: int, deleted: bool, content: bytes
         os.chmod(full, mode & PERMISSION_BITS)
 
 
-def materialize(objects: DataFrame, root: str, include: str | None = None, exclude: str | None = None, cached: dict | None = None) -> DataFrame:
+def materialize(objects: DataFrame, root: str, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Writes (path, mode, size, deleted, content) below root: one row (count, file_match).
 
     Tombstones go first.  file_match says whether all written paths match.
@@ -146,7 +146,7 @@ def materialize(objects: DataFrame, root: str, include: str | None = None, exclu
     done = []
     for part in (objects.where("deleted"), objects.where(~F.col("deleted"))):
         # One directory is written by one task, so that no two tasks make way for each other in it.
-        spread = part.select("path", "mode", "deleted", "content").repartition(F.substring_index("path", "/", 1))
+        spread = part.where(F.col("path").isNotNull()).select("path", F.coalesce("mode", F.lit(0).cast("long")).alias("mode"), "deleted", "content").repartition(F.substring_index("path", "/", 1))
         done.append(spread.mapInPandas(write, "n long, good boolean").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.every("good"), F.lit(True))).first())
     total = sum(n for n, _ in done)
     return objects.sparkSession.createDataFrame([(total, bool(total) and all(g for _, g in done))], "count long, file_match boolean")
