@@ -95,9 +95,17 @@ def _codes(text: str) -> np.ndarray:
 
 
 def paragraphs_of(codes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minhash, hash of the paragraph, first passage, passages) of a text of at least `span` characters."""
-    least = _window_least(Rolling(codes).grams(gram), span - gram + 1)
+    """(minhash, hash of the paragraph, first passage, passages) of a text of at least `span` characters.
+
+    A run of passages with the same MinHash, as in a long run of one character, is cut
+    after as many as can share one shingle; so no paragraph is longer than 2 * span - gram.
+    """
+    most = span - gram + 1
+    least = _window_least(Rolling(codes).grams(gram), most)
     first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    times = -(-np.diff(np.append(first, len(least))) // most)
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    first = np.repeat(first, times) + nth * most
     after = np.append(first[1:], len(least))
     whole = Rolling(codes, _BASE2).of(first, after - 1 + span)
     return least[first].view(np.int64), whole.view(np.int64), first, after - first
