@@ -24,13 +24,15 @@ class FileTrees:
     def __init__(self, store: Store, tries: int = 5):
         self.store, self.tries = store, tries
 
-    def _write(self, step: Callable[[State], tuple[State, object]]):
+    def _write(self, step: Callable[[State], tuple[State, object]], *projects: int | None):
+        """Commits what `step` makes of the state; of objects, it sees and rewrites only the buckets of `projects`, if any are named."""
         for attempt in range(self.tries):
             read = self.store.generation()
-            before = self.store.state(read)
+            buckets = {p % self.store.entry(read)["buckets"] for p in projects if p is not None} if projects else None
+            before = self.store.state(read, buckets)
             after, result = step(before)
             try:
-                self.store.commit_state(read, before, after)
+                self.store.commit_state(read, before, after, buckets)
                 return result
             except Conflict:
                 if attempt == self.tries - 1:
@@ -39,11 +41,11 @@ class FileTrees:
     # --- projects
 
     def new_project(self, project: int, patterns: Sequence[str] | None = None, template: int | None = None) -> int:
-        self._write(lambda s: (mutate.new_project(s, project, patterns, template), None))
+        self._write(lambda s: (mutate.new_project(s, project, patterns, template), None), project, template)
         return reads.latest_version(self.store.table("projects"), project)
 
     def delete_project(self, project: int) -> None:
-        self._write(lambda s: (mutate.delete_project(s, project), None))
+        self._write(lambda s: (mutate.delete_project(s, project), None), project)
 
     def list_projects(self) -> DataFrame:
         return self.store.table("projects").select("id", "latest_version")
@@ -52,11 +54,11 @@ class FileTrees:
         def step(s: State):
             return mutate.clone_project(s, source, target, reads.latest_version(s.projects, source) if version is None else version), None
 
-        self._write(step)
+        self._write(step, source, target)
         return reads.latest_version(self.store.table("projects"), target)
 
     def rollback(self, project: int, version: int) -> None:
-        self._write(lambda s: (mutate.rollback(s, project, version), None))
+        self._write(lambda s: (mutate.rollback(s, project, version), None), project)
 
     # --- reads
 

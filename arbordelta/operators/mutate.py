@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from arbordelta.functions.paths import content_hash, pack_parent, retired_keys
 from arbordelta.operators.packs import merge_packs
 from arbordelta.operators.temporal import live_in_range, snapshot
+from arbordelta.sources.scratch import written
 
 OBJECT_COLUMNS = ["project", "start_version", "stop_version", "path", "hash", "mode", "size", "packed"]
 
@@ -91,14 +93,13 @@ def drop_other_projects(state: State, projects: Sequence[int]) -> State:
 
 # --- updates
 
-def close_rows(objects: DataFrame, keys: DataFrame, versions: DataFrame, protect_new: bool = False) -> DataFrame:
+def close_rows(objects: DataFrame, keys: DataFrame, versions: DataFrame) -> DataFrame:
     """objects with the live rows of `keys` (project, path), distinct, closed at their project's version."""
     at = keys.join(versions, "project").select(F.col("project").alias("_p"), F.col("path").alias("_k"), F.col("version").alias("_v"))
     live = objects.where(F.col("stop_version").isNull())
     dead = objects.where(F.col("stop_version").isNotNull()).select(OBJECT_COLUMNS)
     joined = live.join(at, (F.col("project") == F.col("_p")) & (F.col("path") == F.col("_k")), "left")
-    stop = F.when(F.col("start_version") != F.col("_v"), F.col("_v")) if protect_new else F.col("_v")
-    return dead.unionByName(joined.withColumn("stop_version", stop).select(OBJECT_COLUMNS))
+    return dead.unionByName(joined.withColumn("stop_version", F.col("_v")).select(OBJECT_COLUMNS))
 
 
 def last_writes(batch: DataFrame) -> DataFrame:
@@ -108,24 +109,47 @@ def last_writes(batch: DataFrame) -> DataFrame:
     return batch.where(~F.coalesce("deleted", F.lit(False))).groupBy("project", "path").agg(best.alias("b")).select("project", "path", "b.*")
 
 
-def update_objects(objects: DataFrame, batch: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(objects, inserted, deleted keys) after a batch of unpacked changes.
+def live_rows_of(objects: DataFrame, keys: DataFrame) -> DataFrame:
+    """The live rows of `keys` (project, path), which may repeat; as a table, as what is small is used often."""
+    named = keys.select(F.col("project").alias("_p"), F.col("path").alias("_k")).distinct()
+    live = objects.where(F.col("stop_version").isNull())
+    return written(live.join(named, (F.col("project") == F.col("_p")) & (F.col("path") == F.col("_k")), "left_semi").select(OBJECT_COLUMNS), "live")
 
-    batch: (project, seq, path, mode, size, deleted, content); versions:
-    (project, version), the version that each project's batch makes.  Deletes
-    take effect before writes.  A write that equals a live row in path, hash and
-    mode does nothing; any other closes the path's row and the rows of the
-    directories above it.
+
+class PlainChanges(NamedTuple):
+    """inserted: rows of objects; gone, retired: (project, path), distinct."""
+
+    inserted: DataFrame
+    gone: DataFrame
+    retired: DataFrame
+
+
+def plain_changes(live: DataFrame, batch: DataFrame, versions: DataFrame) -> PlainChanges:
+    """What a batch of unpacked changes does; live: at least the live rows of its paths.
+
+    Deletes take effect before writes.  A write that equals a row still live in
+    path, hash and mode does nothing; any other closes the path's row and the
+    rows of the directories above it.
     """
     gone = batch.where(F.coalesce("deleted", F.lit(False))).select("project", "path").distinct()
-    after = close_rows(objects, gone, versions)
     writes = last_writes(batch).withColumn("hash", content_hash(F.col("content"))).join(versions, "project")
-    live = after.where(F.col("stop_version").isNull()).select("project", "path", "hash", "mode").distinct()
-    inserted = writes.join(live, ["project", "path", "hash", "mode"], "left_anti").select(
-        "project", F.col("version").alias("start_version"), _null_version().alias("stop_version"), "path", "hash", "mode", "size", F.lit(False).alias("packed"))
+    kept = live.join(gone, ["project", "path"], "left_anti").select("project", "path", "hash", "mode").distinct()
+    inserted = written(writes.join(kept, ["project", "path", "hash", "mode"], "left_anti").select(
+        "project", F.col("version").alias("start_version"), _null_version().alias("stop_version"), "path", "hash", "mode", "size", F.lit(False).alias("packed")), "inserted")
     retired = inserted.select("project", F.explode(retired_keys(F.col("path"))).alias("path")).distinct()
-    kept = close_rows(after, retired, versions, protect_new=True)
-    return kept.unionByName(inserted), inserted, gone
+    return PlainChanges(inserted, gone, retired)
+
+
+def update_objects(objects: DataFrame, batch: DataFrame, versions: DataFrame) -> DataFrame:
+    """objects after a batch of unpacked changes.
+
+    batch: (project, seq, path, mode, size, deleted, content); versions:
+    (project, version), the version that each project's batch makes.  Rows are
+    looked up once by the batch's paths, and closed in one pass.
+    """
+    changes = plain_changes(live_rows_of(objects, batch), batch, versions)
+    closed = changes.gone.unionByName(changes.retired).distinct()
+    return close_rows(objects, closed, versions).unionByName(changes.inserted)
 
 
 def next_versions(projects: DataFrame, batch: DataFrame) -> DataFrame:
@@ -134,8 +158,17 @@ def next_versions(projects: DataFrame, batch: DataFrame) -> DataFrame:
     return projects.join(named, F.col("id") == F.col("_p"), "left_semi").select(F.col("id").alias("project"), (F.col("latest_version") + 1).alias("version"))
 
 
-def update_batch(state: State, batch: DataFrame) -> tuple[State, DataFrame]:
-    """The state after one batch of changes, and (project, version) of each project it names.
+class Update(NamedTuple):
+    """projects, objects: as they are afterwards; fresh: contents to add; versions: (project, version) of the projects named."""
+
+    projects: DataFrame
+    objects: DataFrame
+    fresh: DataFrame
+    versions: DataFrame
+
+
+def plan_update(state: State, batch: DataFrame) -> Update:
+    """What one batch of changes makes of a state.
 
     Paths below a pack directory change that pack, the others are objects.  A
     delete, even of an unknown path, makes a version; a batch that changes
@@ -146,29 +179,35 @@ def update_batch(state: State, batch: DataFrame) -> tuple[State, DataFrame]:
     routed = batch.join(patterns, F.col("project") == F.col("_id")).withColumn("pack_path", pack_parent(F.col("path"), F.col("_patterns"))).drop("_id", "_patterns")
     plain = routed.where(F.col("pack_path").isNull()).drop("pack_path")
     packed = routed.where(F.col("pack_path").isNotNull())
-    objects, inserted, gone = update_objects(state.objects, plain, versions)
+    live = live_rows_of(state.objects, routed.select("project", F.coalesce("pack_path", "path").alias("path")))
+    changes = plain_changes(live, plain, versions)
 
-    held = objects.where(F.col("stop_version").isNull() & F.col("packed")).join(
-        packed.select(F.col("project").alias("_p"), F.col("pack_path").alias("_k")).distinct(), (F.col("project") == F.col("_p")) & (F.col("path") == F.col("_k")), "left_semi")
     blobs = state.contents.select(F.col("hash").alias("_h"), F.col("bytes").alias("content"))
+    held = live.where("packed").join(packed.select("project", F.col("pack_path").alias("path")).distinct(), ["project", "path"], "left_semi")
     before = held.join(blobs, F.col("hash") == F.col("_h"), "left").select("project", F.col("path").alias("pack_path"), "hash", "content")
     merged = merge_packs(before, packed)
-    changed = merged.where(~F.col("before_hash").eqNullSafe(F.col("hash")) | F.col("hash").isNull())
-    objects = close_rows(objects, changed.select("project", F.col("pack_path").alias("path")).distinct(), versions, protect_new=True)
+    changed = written(merged.where(~F.col("before_hash").eqNullSafe(F.col("hash")) | F.col("hash").isNull()), "packs")
     new_packs = changed.where(F.col("hash").isNotNull()).join(versions, "project").select(
         "project", F.col("version").alias("start_version"), _null_version().alias("stop_version"), F.col("pack_path").alias("path"), "hash",
         F.lit(0).cast("long").alias("mode"), F.octet_length("content").cast("long").alias("size"), F.lit(True).alias("packed"))
-    objects = objects.unionByName(new_packs)
 
-    moved = inserted.select("project").unionByName(gone.select("project")).unionByName(changed.select("project")).distinct().withColumn("_moved", F.lit(True))
+    closed = changes.gone.unionByName(changes.retired).unionByName(changed.select("project", F.col("pack_path").alias("path"))).distinct()
+    objects = close_rows(state.objects, closed, versions).unionByName(changes.inserted).unionByName(new_packs)
+
+    moved = changes.inserted.select("project").unionByName(changes.gone.select("project")).unionByName(changed.select("project")).distinct().withColumn("_moved", F.lit(True))
     result = versions.join(moved, "project", "left").select("project", F.when(F.col("_moved"), F.col("version")).otherwise(F.col("version") - 1).alias("version"))
     projects = state.projects.join(result.select(F.col("project").alias("_p"), F.col("version").alias("_v")), F.col("id") == F.col("_p"), "left").withColumn(
         "latest_version", F.coalesce("_v", "latest_version")).drop("_p", "_v")
 
     fresh = last_writes(plain).select(content_hash(F.col("content")).alias("hash"), F.coalesce("content", F.lit(b"")).alias("bytes")).unionByName(
         changed.where(F.col("hash").isNotNull()).select("hash", F.col("content").alias("bytes"))).dropDuplicates(["hash"])
-    contents = state.contents.select("hash", "bytes").unionByName(fresh.join(state.contents.select("hash"), "hash", "left_anti"))
-    return State(projects, objects, contents), result
+    return Update(projects, objects, fresh.join(state.contents.select("hash"), "hash", "left_anti"), result)
+
+
+def update_batch(state: State, batch: DataFrame) -> tuple[State, DataFrame]:
+    """The state after one batch of changes, and (project, version) of each project it names."""
+    done = plan_update(state, batch)
+    return State(done.projects, done.objects, state.contents.select("hash", "bytes").unionByName(done.fresh)), done.versions
 
 
 # --- whole projects

@@ -486,7 +486,7 @@ final_ as (
 @query(f"{_BATCH} select {FULL_SQL} from final_")
 def update_objects(spark, sf_dir):
     t, batch = derived(spark, sf_dir), _batch(spark, sf_dir)
-    return mutate.update_objects(t.objects, batch, mutate.next_versions(t.projects, batch))[0].select(FULL)
+    return mutate.update_objects(t.objects, batch, mutate.next_versions(t.projects, batch)).select(FULL)
 
 
 @query(f"""{_BATCH} select id as project, latest_version + case when exists (select 1 from gone g where g.project = id) or exists (select 1 from inserted i where i.project = id) then 1 else 0 end as version

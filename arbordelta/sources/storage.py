@@ -1,24 +1,29 @@
-"""A store on a shared folder: generations of Parquet tables and atomic commits.
-
-A writer derives the next state from the generation it read, writes changed
-tables to a folder of its own and publishes generation n + 1 by renaming a small
-entry into place.  Of two writers that read the same generation only one can
-do that; the other gets :class:`Conflict` and may derive its state again.
-Readers name a generation and are never disturbed.
+"""A store on a shared folder: Parquet parts, generations, atomic commits.
+
+A generation names the parts of its tables.  Contents only grow by appended
+parts.  Objects are split by project into buckets, and a write rewrites the
+buckets of the projects it names, so its cost follows them and not the store.
+A writer publishes generation n + 1 by renaming a small entry into place: of two
+writers that read the same generation only one can do that, the other gets
+:class:`Conflict` and may derive its state again.  Readers name a generation and
+are never disturbed.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbordelta.operators.mutate import State
+from arbordelta.operators.mutate import State, Update
 from arbordelta.schema import CACHE_VERSIONS, CONTENTS, OBJECTS, PROJECTS
 
 SCHEMAS = {"projects": PROJECTS, "objects": OBJECTS, "contents": CONTENTS, "cache_versions": CACHE_VERSIONS}
-#: What tables are sorted by, so that row groups are pruned by their ranges.
+BUCKETS = 64
+#: What parts are sorted by, so that row groups are pruned by their ranges.
 LAYOUT = {"objects": ["project", "start_version", "path"], "contents": ["hash"]}
 
 
@@ -27,57 +32,77 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self):
         Path = self.spark._jvm.org.apache.hadoop.fs.Path
         return Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()), Path
 
+    def _names(self, folder: str) -> list[str]:
+        fs, Path = self._fs()
+        where = Path(folder)
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
     def generation(self) -> int:
         """The newest; 0 before the first commit."""
-        fs, Path = self._fs()
-        folder = Path(f"{self.root}/_commits")
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        return max((int(n) for n in names if n.isdigit()), default=0)
+        return max((int(n) for n in self._names(f"{self.root}/_commits") if n.isdigit()), default=0)
 
     def entry(self, generation: int | None = None) -> dict:
-        """{"tables": {name: path}, "batch": id or null} of a generation."""
+        """{"parts": {table: {bucket: [path, ...]}}, "batches": {stream: number}, "buckets": n} of a generation.
+
+        Tables other than objects have the one bucket "-".
+        """
         generation = self.generation() if generation is None else generation
         if not generation:
-            return {"tables": {}, "batches": {}}
-        text = self.spark.read.text(f"{self.root}/_commits/{generation}", wholetext=True).first()[0]
-        return json.loads(text)
-
-    def table(self, name: str, generation: int | None = None) -> DataFrame:
-        path = self.entry(generation)["tables"].get(name)
-        if path is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path)
-
-    def state(self, generation: int | None = None) -> State:
+            return {"parts": {}, "batches": {}, "buckets": self.buckets}
+        fs, Path = self._fs()
+        stream = fs.open(Path(f"{self.root}/_commits/{generation}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def bucket(self, project: Column, generation: int | None = None) -> Column:
+        return F.pmod(project, F.lit(self.entry(generation)["buckets"]))
+
+    def table(self, name: str, generation: int | None = None, buckets: Collection[int] | None = None) -> DataFrame:
+        """A table of a generation, of objects only the buckets given."""
+        parts = self.entry(generation)["parts"].get(name, {})
+        wanted = None if buckets is None or name != "objects" else {str(b) for b in buckets}
+        paths = [p for b, ps in parts.items() if wanted is None or b in wanted for p in ps]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def state(self, generation: int | None = None, buckets: Collection[int] | None = None) -> State:
         generation = self.generation() if generation is None else generation
-        return State(*(self.table(t, generation) for t in ("projects", "objects", "contents")))
+        return State(*(self.table(t, generation, buckets) for t in ("projects", "objects", "contents")))
 
-    def commit(self, read: int, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> int:
-        """Publishes `tables` on top of generation `read`; the other tables stay.
+    def commit(
+        self, read: int, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None,
+        buckets: Collection[int] | None = None, batch: tuple[str, int] | None = None,
+    ) -> int:
+        """Publishes a generation on top of `read`; tables not named stay.
 
-        batch: (stream, number) that this commit holds, kept for replays.
+        With `buckets`, objects are replaced in these only.  batch: (stream,
+        number) that this commit holds, kept for replays.
         """
         entry = self.entry(read)
         own = f"{self.root}/data/{read + 1:08d}-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df = df.select([f.name for f in SCHEMAS[name].fields])
-            if keys := LAYOUT.get(name):
-                df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-            df.write.parquet(f"{own}/{name}")
-            entry["tables"][name] = f"{own}/{name}"
+        for name, df in (replace or {}).items():
+            new = self._write(f"{own}/{name}", name, df, entry["buckets"])
+            kept = entry["parts"].get(name, {}) if name == "objects" and buckets is not None else {}
+            entry["parts"][name] = {b: p for b, p in kept.items() if int(b) not in set(buckets)} | new
+        for name, df in (append or {}).items():
+            new = self._write(f"{own}/+{name}", name, df, entry["buckets"])
+            old = entry["parts"].setdefault(name, {})
+            for b, paths in new.items():
+                old[b] = [*old.get(b, []), *paths]
         if batch:
             entry["batches"][batch[0]] = batch[1]
         fs, Path = self._fs()
         fs.mkdirs(Path(f"{self.root}/_commits"))
-        draft, final = Path(f"{own}/_entry"), Path(f"{self.root}/_commits/{read + 1}")
         fs.mkdirs(Path(own))
+        draft, final = Path(f"{own}/_entry"), Path(f"{self.root}/_commits/{read + 1}")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
@@ -85,6 +110,25 @@ class Store:
             raise Conflict(f"generation {read + 1} exists already")
         return read + 1
 
-    def commit_state(self, read: int, before: State, after: State, batch: tuple[str, int] | None = None) -> int:
+    def _write(self, path: str, name: str, df: DataFrame, buckets: int) -> dict[str, list[str]]:
+        df = df.select([f.name for f in SCHEMAS[name].fields])
+        keys = LAYOUT.get(name, [])
+        if name == "objects":
+            # Sorted by range within the bucket: a bucket with a hot project becomes several files.
+            keys = ["bucket", *keys]
+            df = df.withColumn("bucket", F.pmod("project", F.lit(buckets)))
+        if keys:
+            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        writer = df.write.partitionBy("bucket") if name == "objects" else df.write
+        writer.parquet(path)
+        if name != "objects":
+            return {"-": [path]}
+        return {n.removeprefix("bucket="): [f"{path}/{n}"] for n in self._names(path) if n.startswith("bucket=")}
+
+    def commit_state(self, read: int, before: State, after: State, buckets: Collection[int] | None = None) -> int:
+        """Publishes the tables in which two states differ; with `buckets`, both hold objects of these only."""
         changed = {n: getattr(after, n) for n in ("projects", "objects", "contents") if getattr(after, n) is not getattr(before, n)}
-        return self.commit(read, changed, batch)
+        return self.commit(read, changed, buckets=buckets)
+
+    def commit_update(self, read: int, update: Update, buckets: Collection[int], batch: tuple[str, int] | None = None) -> int:
+        return self.commit(read, {"projects": update.projects, "objects": update.objects}, {"contents": update.fresh}, buckets, batch)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from arbordelta.operators.mutate import update_batch
+from arbordelta.operators.mutate import plan_update
 from arbordelta.sources.storage import Conflict, Store
 
 
@@ -22,10 +22,11 @@ def apply_to_store(store: Store, batch: DataFrame, stream: str | None = None, nu
             read = store.generation()
             if stream is not None and store.entry(read)["batches"].get(stream, -1) >= number:
                 return None
-            before = store.state(read)
-            after, versions = update_batch(before, batch)
+            named = batch.select(store.bucket(F.col("project"), read).alias("b")).where("b is not null").distinct()
+            buckets = [r["b"] for r in named.collect()]  # at most the store's number of buckets
+            update = plan_update(store.state(read, buckets), batch)
             try:
-                done = store.commit_state(read, before, after, (stream, number) if stream is not None else None)
+                done = store.commit_update(read, update, buckets, (stream, number) if stream is not None else None)
             except Conflict:
                 if attempt == tries - 1:
                     raise
