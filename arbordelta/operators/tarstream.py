@@ -70,20 +70,36 @@ def apply_step(floor, end, chunks, total: int, start: int) -> tuple[int, int]:
     return (start + total, 0) if end[k] < 0 else (int(end[k]), int(chunks[k]))
 
 
-def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole runs of equal keys of a sorted partition."""
-    held: list[pd.DataFrame] = []
+def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole runs of equal keys of a sorted partition, as arrays by column."""
+    held: list[dict[str, np.ndarray]] = []
     for frame in frames:
-        while len(frame):
-            same = (frame[keys] == frame[keys].iloc[0]).all(axis=1).to_numpy()
-            n = len(frame) if same.all() else int(np.argmin(same))
-            if held and not (held[0][keys].iloc[0] == frame[keys].iloc[0]).all():
-                yield pd.concat(held, ignore_index=True)
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
+        turn = np.zeros(max(len(frame) - 1, 0), bool)
+        for k in keys:
+            turn |= columns[k][1:] != columns[k][:-1]
+        bounds = [0, *(np.flatnonzero(turn) + 1).tolist(), len(frame)]
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                continue
+            part = {c: x[a:b] for c, x in columns.items()}
+            if held and any(held[0][k][0] != part[k][0] for k in keys):
+                yield {c: np.concatenate([h[c] for h in held]) if len(held) > 1 else held[0][c] for c in columns}
                 held = []
-            held.append(frame.iloc[:n])
-            frame = frame.iloc[n:]
+            held.append(part)
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
+def _frames(rows: Iterator[tuple], columns: list[str], at_once: int = 1000) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == at_once:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def tar_chunks(rows: DataFrame, limit: int = TARGET_BYTES, segments: int | None = None) -> DataFrame:
@@ -97,37 +113,43 @@ def tar_chunks(rows: DataFrame, limit: int = TARGET_BYTES, segments: int | None
     placed = written(placed, "segments")
 
     def functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(frames, ["segment", "project"]):
-            sizes = run["bytes"].to_numpy()
-            yield pd.DataFrame([(*run[["segment", "project"]].iloc[0].tolist(), int(sizes.sum()), *(x.tolist() for x in step_function(sizes, limit)))],
-                               columns=["segment", "project", "total", "floor", "ends", "chunks"])
+        rows = (
+            (int(run["segment"][0]), int(run["project"][0]), int(run["bytes"].sum()), *(x.tolist() for x in step_function(run["bytes"], limit)))
+            for run in _runs(frames, ["segment", "project"]))
+        yield from _frames(rows, ["segment", "project", "total", "floor", "ends", "chunks"])
 
     counted = placed.where(~F.col("alone"))
     order = ["segment", "project", "path", "bytes"]
-    steps = counted.select(order).repartition("segment").sortWithinPartitions(*order).mapInPandas(
+    steps = counted.select("segment", "project", "path", "bytes").repartition("segment").sortWithinPartitions(*order).select("segment", "project", "bytes").mapInPandas(
         functions, "segment long, project long, total long, floor array<long>, ends array<long>, chunks array<long>")
 
-    def chain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        size, chunk, out = 0, 0, []
-        for s in frame.sort_values("segment").itertuples():
-            out.append((s.segment, s.project, size, chunk))
-            size, ended = apply_step(np.asarray(s.floor), s.ends, s.chunks, s.total, size)
-            chunk += ended
-        return pd.DataFrame(out, columns=["segment", "project", "start", "first"])
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        project, size, chunk = None, 0, 0
+        for frame in frames:
+            out = []
+            for s in frame.itertuples():
+                if s.project != project:
+                    project, size, chunk = s.project, 0, 0
+                out.append((s.segment, s.project, size, chunk))
+                size, ended = apply_step(np.asarray(s.floor), s.ends, s.chunks, s.total, size)
+                chunk += ended
+            yield pd.DataFrame(out, columns=["segment", "project", "start", "first"])
 
-    starts = steps.groupBy("project").applyInPandas(chain, "segment long, project long, start long, first long")
+    starts = steps.repartition("project").sortWithinPartitions("project", "segment").mapInPandas(chain, "segment long, project long, start long, first long")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(frames, ["segment", "project"]):
-            sizes, size, chunk = run["bytes"].tolist(), int(run["start"].iloc[0]), int(run["first"].iloc[0])
+        key, size, chunk = None, 0, 0
+        for frame in frames:
             chunks, so_far = [], []
-            for n in sizes:
+            for segment, project, n, start, first in zip(*(frame[c].tolist() for c in ("segment", "project", "bytes", "start", "first"))):
+                if key != (segment, project):
+                    key, size, chunk = (segment, project), start, first
                 size += n
                 chunks.append(chunk)
                 so_far.append(size)
                 if size > limit:
                     size, chunk = 0, chunk + 1
-            yield run[["project", "path"]].assign(chunk=chunks, bytes_so_far=so_far)
+            yield frame[["project", "path"]].assign(chunk=chunks, bytes_so_far=so_far)
 
     folded = counted.select(order).join(starts, ["segment", "project"]).select(*order, "start", "first").repartition("segment").sortWithinPartitions(*order).mapInPandas(
         fold, "project long, path string, chunk long, bytes_so_far long")
@@ -167,12 +189,15 @@ def get_tars(
 def tar_bytes(objects: DataFrame) -> DataFrame:
     """(project, chunk, path, mode, size, deleted, is_cached, hash, content) to (project, chunk, bytes), one TAR for each chunk."""
 
-    def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("path")[["path", "mode", "size", "deleted", "content", "is_cached"]]
-        return pd.DataFrame([(*key, encode_pack(Member(*r) for r in rows.itertuples(index=False, name=None)))], columns=["project", "chunk", "bytes"])
+    columns = ["path", "mode", "size", "deleted", "content", "is_cached"]
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tars = ((int(run["project"][0]), int(run["chunk"][0]), encode_pack(Member(*r) for r in zip(*(run[c] for c in columns)))) for run in _runs(frames, ["project", "chunk"]))
+        yield from _frames(tars, ["project", "chunk", "bytes"], at_once=16)
 
     none = F.lit(0).cast("long")
     objects = objects.where(F.col("path").isNotNull()).select(
         "project", "chunk", "path", F.coalesce("mode", none).alias("mode"), F.coalesce("size", none).alias("size"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
         F.when(F.col("is_cached"), F.unhex("hash")).otherwise(F.col("content")).alias("content"), F.coalesce("is_cached", F.lit(False)).alias("is_cached"))
-    return objects.groupBy("project", "chunk").applyInPandas(write, "project long, chunk long, bytes binary")
+    sorted_ = objects.where("project is not null and chunk is not null").repartition("project", "chunk").sortWithinPartitions("project", "chunk", "path")
+    return sorted_.mapInPandas(write, "project long, chunk long, bytes binary")
