@@ -16,7 +16,7 @@ from arbordelta.functions.paths import content_hash, glob_match, kind, pack_pare
 from arbordelta.operators import cache, gc, mutate, packs, reads, tarstream, temporal
 from arbordelta.operators.reads import ObjectQuery
 from arbordelta.plans.fixtures import derived, given, with_store
-from arbordelta.schema import table
+from arbordelta.schema import UPDATES, table
 from arbordelta.sources import tree
 
 QUERIES: dict = {}
@@ -30,11 +30,12 @@ FULL = ["project", "start_version", "stop_version", "path", "hash", "mode", "siz
 FULL_SQL = ", ".join(FULL)
 
 
-def query(sql: str | None = None, store: bool = True, unique: bool = False):
+def query(sql: str | None = None, store: bool = True, unique: bool = False, name: str | None = None):
+    """Registers a query; with `store`, its SQL sees the derived store."""
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = with_store(sql, unique) if store else sql
+            ORACLE[name or f.__name__] = with_store(sql, unique) if store else sql
         return f
     return add
 
@@ -156,7 +157,7 @@ def _doc_tree(spark, sf_dir):
     return rows, contents
 
 
-@query("select 'tree/' || coalesce(source, '') || '/' || doc_id as path, sha256(text) as hash from documents where text is not null", store=False)
+@query("select 'tree/' || coalesce(source, '') || '/' || doc_id as path, sha256(text) as hash from documents where text is not null", store=False, name="content_hash")
 def content_hashes(spark, sf_dir):
     return _doc_tree(spark, sf_dir)[0].select("path", "hash")
 
@@ -296,7 +297,7 @@ select distinct t.path, b.parent from parts t left join best b on b.path = t.pat
 """
 
 
-@query("with " + _PARENT.strip(), store=False)
+@query("with " + _PARENT.strip(), store=False, name="pack_parent")
 def pack_parents(spark, sf_dir):
     t = given(spark, sf_dir)
     rows = t.objects.join(t.projects, F.col("project") == F.col("id"))
@@ -496,6 +497,22 @@ def update_batch(spark, sf_dir):
     return mutate.update_batch(t.state, _batch(spark, sf_dir))[1]
 
 
+@query(f"{_BATCH} select {FULL_SQL} from final_")
+def update_stream(spark, sf_dir):
+    """The same batch through a file stream into a store on disk."""
+    from arbordelta.sources.scratch import scratch_folder
+    from arbordelta.sources.storage import Store
+    from arbordelta.streaming.ingest import start_ingest
+
+    folder, t = scratch_folder(spark, "stream"), derived(spark, sf_dir)
+    store = Store(spark, f"{folder}/store")
+    store.commit(0, {"projects": t.projects, "objects": t.objects, "contents": t.contents})
+    _batch(spark, sf_dir).coalesce(1).write.parquet(f"{folder}/feed")
+    changes = spark.readStream.schema(UPDATES).parquet(f"{folder}/feed")
+    start_ingest(changes, store, f"{folder}/checkpoint").awaitTermination()
+    return store.table("objects").select(FULL)
+
+
 @query()
 def update_packed(spark, sf_dir):
     """A batch on the given store, of which part goes into packs."""

@@ -34,14 +34,19 @@ def _remove_all() -> None:
         _remove(*_KEPT.pop())
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/arbordelta/{name}-{uuid.uuid4().hex}"
+    _KEPT.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read from a Parquet table.
 
     The table is in the shared folder, so a lost executor loses nothing of it.
-    It is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arbordelta/{name}-{uuid.uuid4().hex}"
-    _KEPT.append((spark, path))
+    path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
