@@ -11,8 +11,10 @@ configurations is found by column generation (a linear program over
 configurations, priced by an unbounded knapsack).  Whole multiples of the
 configurations are opened, the actual items, never longer than their rounded
 size, are substituted, and what remains, the small items last, goes to the
-fullest container that takes it.  Where rounding costs a shard more containers
-than plain best fit of the whole shard would, the latter's result stands.
+fullest container that takes it.  Rounding leaves room that no small item may
+be there to fill; so an opened container stands only if its actual items fill it
+to a certain share, and of a few such shares, from none to more than all, the
+one that needs the fewest containers is taken.
 
 Defined results.  Null or negative lengths are 0.  Items of length 0 are in one
 container, too.  Rows with an equal key are one item, of the greatest length.  A
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 #: Lengths above capacity / SMALL are large.
 SMALL = 16
 GROUPS = 64
+#: Shares to which an opened container must be filled to stand.
+FILLS = (0.0, 0.97, 0.985, 0.995, 0.999, 1.01)
 #: The knapsack counts capacity in at most so many units.
 UNITS = 16_384
 SHARD_ITEMS = 20_000
@@ -111,34 +115,41 @@ def _best_fit(lengths: np.ndarray, which: np.ndarray, container: np.ndarray, roo
         insort(free, (left - need, c))
 
 
-def _grouped(lengths: np.ndarray, capacity: int, groups: int, small: int) -> tuple[np.ndarray, int]:
-    container = np.full(len(lengths), -1, np.int64)
-    room: list[int] = []
+def _opened(lengths: np.ndarray, capacity: int, groups: int, small: int) -> list[np.ndarray]:
+    """The actual large items of each container that the configurations open."""
     large = np.flatnonzero(lengths * small > capacity)
     large = large[np.argsort(-lengths[large], kind="stable")]
-    if len(large):
-        per = -(-len(large) // groups)
-        members = [large[i:i + per] for i in range(0, len(large), per)]
-        sizes = np.array([lengths[m[0]] for m in members])
-        for col, times in configurations(sizes, np.array([len(m) for m in members]), capacity):
-            for _ in range(times):
-                free = capacity
-                for k in np.flatnonzero(col):
-                    take, members[k] = members[k][:col[k]], members[k][col[k]:]
-                    container[take] = len(room)
-                    free -= int(lengths[take].sum())
-                room.append(free)
-    _best_fit(lengths, np.flatnonzero(container < 0), container, room, capacity)
-    return container, len(room)
+    if not len(large):
+        return []
+    per = -(-len(large) // groups)
+    members = [large[i:i + per] for i in range(0, len(large), per)]
+    sizes = np.array([lengths[m[0]] for m in members])
+    out = []
+    for col, times in configurations(sizes, np.array([len(m) for m in members]), capacity):
+        for _ in range(times):
+            taken = []
+            for k in np.flatnonzero(col):
+                taken.append(members[k][:col[k]])
+                members[k] = members[k][col[k]:]
+            out.append(np.concatenate(taken))
+    return out
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
     """The container's number of each length; all lengths are at most the capacity."""
     lengths = np.asarray(lengths, np.int64)
-    grouped, n = _grouped(lengths, capacity, groups, small)
-    plain, room = np.full(len(lengths), -1, np.int64), []
-    _best_fit(lengths, np.arange(len(lengths)), plain, room, capacity)
-    return grouped if n <= len(room) else plain
+    opened = _opened(lengths, capacity, groups, small)
+    fill = np.array([int(lengths[items].sum()) for items in opened], np.int64)
+    best, fewest = None, None
+    for least in FILLS:
+        container, room = np.full(len(lengths), -1, np.int64), []
+        for k in np.flatnonzero(fill >= least * capacity).tolist():
+            container[opened[k]] = len(room)
+            room.append(capacity - int(fill[k]))
+        _best_fit(lengths, np.flatnonzero(container < 0), container, room, capacity)
+        if best is None or len(room) < fewest:
+            best, fewest = container, len(room)
+    return best
 
 
 def pack_items(items: DataFrame, keys: list[str], length: Column, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
