@@ -186,14 +186,18 @@ def token_ids(documents: DataFrame, path: str = BYTE_BPE_50K, long_bytes: int =
     def join(group: pa.Table) -> pa.Table:
         enc = encoder(path)
         group = group.sort_by("seq")
-        parts = [Part(t.as_py(), np.asarray(i.values, np.int32), np.asarray(s.values, np.int64)) for t, i, s in zip(group["part"], group["ids"], group["starts"])]
+        seq = np.asarray(group["seq"])
+        times = int((seq == 0).sum())  # equal rows of the input have equal parts
+        parts = [
+            Part(group["part"][i].as_py(), np.asarray(group["ids"][i].values, np.int32), np.asarray(group["starts"][i].values, np.int64))
+            for i in range(0, len(seq), times)]
         done = join_tree(enc, parts)
-        return pa.Table.from_arrays([group["doc_id"].slice(0, 1), _lists([done.ids], np.int32)], ["doc_id", "ids"])
+        return pa.Table.from_arrays([group["doc_id"].slice(0, times), _lists([done.ids] * times, np.int32)], ["doc_id", "ids"])
 
     is_long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
     short = docs.where(~is_long).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
-    # Rows with equal ids are told apart by a key that a retried task gives again.
-    keyed = docs.where(is_long).withColumn("key", F.concat_ws("-", F.md5("text"), F.col("doc_id"), F.expr("monotonically_increasing_id()")))
+    # The key follows from the row alone, so a task that is run again gives the same one.
+    keyed = docs.where(is_long).withColumn("key", F.concat_ws("-", F.sha2("text", 256), F.col("doc_id")))
     parts = keyed.mapInArrow(cut, f"doc_id {kind}, key string, seq long, part string").repartition("key", "seq")
     coded = parts.mapInArrow(encode, f"doc_id {kind}, key string, seq long, part string, ids array<int>, starts array<int>")
     return short.unionByName(coded.groupBy("key").applyInArrow(join, f"doc_id {kind}, ids array<int>"))
