@@ -1,14 +1,14 @@
 """Continuous periods and gaps of half-open intervals, in two levels.
 
 Time is cut into shards of 2**bits versions.  Each interval is clipped to the
-shards it begins and ends in; the whole shards between are one span record, so
-an interval never becomes more than three rows.  Level 1 sorts and merges the
-fragments of one (entity, shard).  Level 2 gets, of each shard, only the periods
-that touch its edges, the hull of the others, and the spans: at most a few rows
-for each shard that an entity occupies, however many intervals it has.  It
-stitches what touches and says which shards are covered from end to end; in
-these the periods and gaps of level 1 are void.  Repeated and equally clipped
-intervals are folded before the first shuffle.
+shards it begins and ends in, so it never becomes more than two rows; how far it
+goes on through whole shards stays with the first of them.  Level 1 sorts and
+merges the fragments of one (entity, shard).  Level 2 gets, of each shard, only
+the periods that touch its edges, with their reach, and the hull of the others:
+at most a few rows for each shard that an entity occupies, however many
+intervals it has.  It stitches what touches and says which shards are covered
+from end to end; in these the periods and gaps of level 1 are void.  Repeated
+and equally clipped intervals are folded before the first shuffle.
 
 Defined results.  Intervals with a null start, or a stop at or before the
 start, are void; a null stop is an open end.  Touching intervals belong to one
@@ -36,31 +36,27 @@ def _upper(shard: Column, bits: int) -> Column:
 
 
 def _clip(df: DataFrame, keys: list[str], start: str, stop: str, bits: int) -> DataFrame:
-    """Fragments and spans: (keys, shard, span, lo, hi, differ), equal ones folded.
+    """Fragments (keys, shard, lo, hi, reach, differ), equal ones folded.
 
-    A span has the number of its first shard as `shard`.
+    reach: where the whole shards end that a fragment's interval goes on through,
+    OPEN for an open end; an interval with an end has a second fragment from there.
     """
     s, e = F.col("_s"), F.col("_e")
     ivs = df.select(*keys, F.col(start).alias("_s"), F.coalesce(F.col(stop), F.lit(OPEN)).alias("_e")).where(e > s)
     ivs = ivs.withColumn("_a", F.shiftright(s, bits)).withColumn("_b", F.shiftright(e - 1, bits))
     a, b = F.col("_a"), F.col("_b")
-    first = F.when(s == _lower(a, bits), a).otherwise(a + 1)
-    last = F.when(e == _upper(b, bits), b).otherwise(b - 1)
+    ends = (a != b) & (e != OPEN)
 
-    def piece(when: Column, shard: Column, span: bool, lo: Column, hi: Column) -> Column:
-        return F.when(when, F.struct(shard.alias("shard"), F.lit(span).alias("span"), lo.alias("lo"), hi.alias("hi")))
+    def piece(shard: Column, lo: Column, hi: Column, reach: Column) -> Column:
+        return F.struct(shard.alias("shard"), lo.alias("lo"), hi.alias("hi"), reach.alias("reach"))
 
-    pieces = F.array_compact(F.array(
-        piece(a == b, a, False, s, e),
-        piece((a != b) & (first != a), a, False, s, _upper(a, bits)),
-        piece((a != b) & (last != b), b, False, _lower(b, bits), e),
-        piece((a != b) & (first <= last), first, True, _lower(first, bits), _upper(last, bits)),
-    ))
+    first = piece(a, s, F.least(e, _upper(a, bits)), F.when(ends, _lower(b, bits)).otherwise(e))
+    pieces = F.when(ends, F.array(first, piece(b, _lower(b, bits), e, e))).otherwise(F.array(first))
     return (
         ivs.select(*keys, "_s", "_e", F.explode(pieces).alias("p"))
-        .groupBy(*keys, F.col("p.shard").alias("shard"), F.col("p.span").alias("span"), F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
-        .agg(F.min("_s").alias("s0"), F.max("_s").alias("s1"), F.min("_e").alias("e0"), F.max("_e").alias("e1"))
-        .select(*keys, "shard", "span", "lo", "hi", ((F.col("s0") < F.col("s1")) | (F.col("e0") < F.col("e1"))).alias("differ"))
+        .groupBy(*keys, F.col("p.shard").alias("shard"), F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
+        .agg(F.max("p.reach").alias("reach"), F.min("_s").alias("s0"), F.max("_s").alias("s1"), F.min("_e").alias("e0"), F.max("_e").alias("e1"))
+        .select(*keys, "shard", "lo", "hi", "reach", ((F.col("s0") < F.col("s1")) | (F.col("e0") < F.col("e1"))).alias("differ"))
     )
 
 
@@ -79,14 +75,13 @@ def _sweep(df: DataFrame, group: list[str]) -> DataFrame:
 
 def _levels(df: DataFrame, keys: list[str], start: str, stop: str, bits: int) -> tuple[DataFrame, DataFrame]:
     """(level 1's inner periods, level 2's items swept by run)."""
-    clipped = _clip(df, keys, start, stop, bits)
-    local = [*keys, "shard", "span"]
-    # Spans and fragments are swept apart: `span` is in the key.  Spans of one first shard all overlap.
-    periods = _sweep(clipped, local).groupBy(*local, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("differ").alias("differ"))
+    local = [*keys, "shard"]
+    periods = _sweep(_clip(df, keys, start, stop, bits), local).groupBy(*local, "run").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("reach").alias("reach"), F.max("differ").alias("differ"))
     shard = F.col("shard")
-    periods = periods.withColumn("inner", ~F.col("span") & (F.col("lo") > _lower(shard, bits)) & (F.col("hi") < _upper(shard, bits)))
+    periods = periods.withColumn("inner", (F.col("lo") > _lower(shard, bits)) & (F.col("hi") < _upper(shard, bits)))
     hulls = periods.groupBy(*local, "inner", F.when(~F.col("inner"), F.col("run")).alias("_own")).agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.col("differ") & ~F.col("inner")).alias("differ"))
+        F.min("lo").alias("lo"), F.max("reach").alias("hi"), F.max(F.col("differ") & ~F.col("inner")).alias("differ"))
     swept = _sweep(hulls.select(*keys, "shard", "inner", "lo", "hi", "differ"), keys)
     return periods.where("inner"), swept
 
@@ -110,7 +105,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_version
     runs = swept.groupBy(*keys, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("differ").alias("differ"), F.min("inner").alias("only_inner"))
     runs = runs.withColumn("before", F.lag("hi").over(Window.partitionBy(*keys).orderBy("lo")))
     stitched = _with_gaps(runs, keys, ~F.col("only_inner"))
-    local = Window.partitionBy(*keys, "shard", "span").orderBy("lo")
+    local = Window.partitionBy(*keys, "shard").orderBy("lo")
     within = _with_gaps(inner.withColumn("before", F.lag("hi").over(local)), [*keys, "shard"], F.lit(True))
     same = F.col("shard") == F.col("_c_shard")
     for k in keys:
