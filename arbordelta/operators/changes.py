@@ -55,23 +55,40 @@ def apply_changes(requests: DataFrame, projects: DataFrame) -> DataFrame:
     return read_current(*split_feed(accepted(requests, projects)))
 
 
+_LOWEST = -(1 << 63)
+
+
 class EqualityDeleteTable:
     """Insert and delete files below a shared folder, one pair per appended batch.
 
-    Appending the same batch again overwrites its own files, so a retried write
-    adds nothing twice.  Batches may arrive in any order.
+    Batches are appended as they arrive, in any order, and split anywhere: which
+    attempts stand is settled by the reader, as each request, void ones too,
+    leaves its key, number and attempt in a delete file.  Appending a batch again
+    overwrites its own files, so a retried write adds nothing twice.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root = spark, root.rstrip("/")
 
     def append(self, batch: str, requests: DataFrame) -> None:
-        inserts, deletes = split_feed(requests)
-        # A reader joins only batches whose delete file is complete, hence deletes go last.
-        inserts.write.mode("overwrite").parquet(f"{self.root}/inserts/batch={batch}")
-        deletes.groupBy(*KEY).agg(F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{self.root}/deletes/batch={batch}")
-
-    def read(self) -> DataFrame:
-        deletes = self.spark.read.option("basePath", f"{self.root}/deletes").parquet(f"{self.root}/deletes/*")
-        inserts = self.spark.read.option("basePath", f"{self.root}/inserts").parquet(f"{self.root}/inserts/*")
-        return read_current(inserts.drop("batch"), deletes.drop("batch"))
+        rows = requests.where(F.col("project").isNotNull() & F.col("seq").isNotNull()).withColumn("attempt", F.coalesce("attempt", F.lit(_LOWEST)))
+        numbers = ["seq", "attempt", "batch_version"]
+        payload = [c for c in PAYLOAD if c in rows.columns]
+        rows.where(~F.coalesce("deleted", F.lit(False))).select(*KEY, *numbers, *payload).write.mode("overwrite").parquet(f"{self.root}/inserts/batch={batch}")
+        rows.select(*KEY, *numbers).distinct().write.mode("overwrite").parquet(f"{self.root}/deletes/batch={batch}")
+
+    def _files(self, kind: str) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.root}/{kind}").parquet(f"{self.root}/{kind}").drop("batch")
+
+    def read(self, projects: DataFrame) -> DataFrame:
+        """The live paths: (project, path, seq, mode, size, content)."""
+        last = projects.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("project")).agg(F.max("latest_version").alias("latest"))
+        deletes = self._files("deletes")
+        standing = deletes.groupBy("project", "seq").agg(F.max("attempt").alias("standing"))
+
+        def effective(files: DataFrame) -> DataFrame:
+            stand = files.join(standing, ["project", "seq"]).where(F.col("attempt") == F.col("standing"))
+            known = stand.where(F.col("path").isNotNull()).join(last, "project").where(F.col("batch_version") <= F.col("latest"))
+            return known.drop("attempt", "standing", "batch_version", "latest")
+
+        return read_current(effective(self._files("inserts")), effective(deletes))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from arbordelta.operators.changes import EqualityDeleteTable
 from arbordelta.operators.mutate import plan_update
 from arbordelta.sources.storage import Conflict, Store
 
@@ -44,3 +45,12 @@ def start_ingest(changes: DataFrame, store: Store, checkpoint: str, stream: str
         .foreachBatch(lambda batch, number: apply_to_store(store, batch, stream, number) and None)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+def start_change_feed(requests: DataFrame, table: EqualityDeleteTable, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends each micro-batch of a stream of requests to a table; a replayed one overwrites its own files."""
+    return (
+        requests.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, number: table.append(f"{number:012d}", batch))
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )

@@ -108,12 +108,26 @@ def test_changes_against_model(spark):
 
 
 def test_equality_delete_table_takes_batches_in_any_order(spark, tmp_path):
-    rows, projects = dirty_requests(random.Random(6)), [(1, 2), (2, 9)]
-    df = changes.accepted(spark.createDataFrame(rows, REQUEST), spark.createDataFrame([(p, v, None) for p, v in projects], PROJECT)).persist()
+    rows, projects = dirty_requests(random.Random(6)), [(1, 2), (2, 9), (3, -1)]
+    known = spark.createDataFrame([(p, v, None) for p, v in projects], PROJECT)
     store = changes.EqualityDeleteTable(spark, str(tmp_path))
-    for batch, odd in (("b", 1), ("a", 0), ("b", 1)):
-        store.append(batch, df.where(f"seq % 2 = {odd}"))
-    assert sorted((r.project, r.path, r.seq) for r in store.read().collect()) == model_changes(rows, projects)
+    third = len(rows) // 3
+    for batch in (2, 0, 1, 2):
+        store.append(str(batch), spark.createDataFrame(rows[batch * third:(batch + 1) * third + 5], REQUEST))
+    assert sorted((r.project, r.path, r.seq) for r in store.read(known).collect()) == model_changes(rows[:3 * third + 5], projects)
+
+
+def test_change_feed_stream(spark, tmp_path):
+    from arbordelta.streaming.ingest import start_change_feed
+
+    rows, projects = dirty_requests(random.Random(7)), [(1, 2), (2, 9), (3, -1)]
+    store = changes.EqualityDeleteTable(spark, str(tmp_path / "table"))
+    schema = spark.createDataFrame([], REQUEST).schema
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        start_change_feed(spark.readStream.schema(schema).parquet(str(tmp_path / "feed")), store, str(tmp_path / "checkpoint")).awaitTermination()
+    got = store.read(spark.createDataFrame([(p, v, None) for p, v in projects], PROJECT)).collect()
+    assert sorted((r.project, r.path, r.seq) for r in got) == model_changes(rows, projects)
 
 
 def test_totals_and_heavy_projects(spark):
