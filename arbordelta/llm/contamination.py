@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbordelta.llm.fm_index import MAX_SYMBOLS, FMIndex
+from arbordelta.sources.spread import spread
 
 MIN_CHARS = 60
 BLOCK_BYTES = 8 << 20
@@ -165,7 +166,7 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
 
 
 def _search(documents: DataFrame, benchmark: DataFrame, emit, schema: str, min_chars: int, block_bytes: int, shard_symbols: int) -> DataFrame:
-    docs = documents.select("doc_id", "text")
+    docs = spread(documents.select("doc_id", "text"))
     limit = min(shard_symbols, MAX_SYMBOLS)
     if limit <= 2 * min_chars:
         raise ValueError("a shard must hold more than two matches")

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from arbordelta.llm.components import components
 from arbordelta.sources.scratch import written
+from arbordelta.sources.spread import spread
 
 SPAN = 300
 GRAM = 150
@@ -133,7 +134,7 @@ def paragraphs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, section
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["doc_id", "minhash", "whole", "first", "passages"])
 
-    return documents.select("doc_id", "text").mapInArrow(cut, "doc_id long, minhash long, whole long, first long, passages long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(cut, "doc_id long, minhash long, whole long, first long, passages long")
 
 
 def _ranges(hit: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbordelta.sources.spread import spread
+
 #: Fixed value: the pattern that belongs to the vocabulary, with \s spelt as the property it stands for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: How far a match may look ahead of its own start.
@@ -195,7 +197,7 @@ def token_ids(documents: DataFrame, path: str = BYTE_BPE_50K, long_bytes: int =
         return pa.Table.from_arrays([group["doc_id"].slice(0, times), _lists([done.ids] * times, np.int32)], ["doc_id", "ids"])
 
     is_long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
-    short = docs.where(~is_long).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
+    short = spread(docs.where(~is_long)).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
     # The key follows from the row alone, so a task that is run again gives the same one.
     keyed = docs.where(is_long).withColumn("key", F.concat_ws("-", F.sha2("text", 256), F.col("doc_id")))
     parts = keyed.mapInArrow(cut, f"doc_id {kind}, key string, seq long, part string").repartition("key", "seq")
