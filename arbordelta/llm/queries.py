@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordelta.llm import contamination, packing, shared_spans, tokenise
-from arbordelta.operators.compaction import live_files
+from arbordelta.operators.compaction import live_objects
 from arbordelta.schema import table
 
 TAR_CAPACITY = 16_384
@@ -26,7 +26,7 @@ def p2_tar_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_object_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_items(live_files(table(spark, sf_dir, "objects")), ["project", "path"], F.col("size"), OBJECT_CAPACITY)
+    return packing.pack_items(live_objects(table(spark, sf_dir, "objects")), ["project", "path"], F.col("size"), OBJECT_CAPACITY)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

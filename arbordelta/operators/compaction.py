@@ -76,16 +76,28 @@ def triggered_directories(objects: DataFrame, policy: TierPolicy = DEFAULT_POLIC
     )
 
 
-def live_files(objects: DataFrame) -> DataFrame:
-    """One row per live file: (project, path, hash, size)."""
-    loaded = F.col("loaded_at") if "loaded_at" in objects.columns else F.lit(None).cast("timestamp")
+def _newest(rows: DataFrame) -> DataFrame:
+    loaded = F.col("loaded_at") if "loaded_at" in rows.columns else F.lit(None).cast("timestamp")
     best = F.max(F.struct(F.col("start_version"), loaded.alias("loaded_at"), F.col("hash"), F.col("size")))
     return (
-        live_plain_rows(objects).groupBy("project", "path").agg(best.alias("b"))
+        rows.groupBy("project", "path").agg(best.alias("b"))
         .select("project", "path", F.col("b.hash").alias("hash"), F.greatest(F.coalesce("b.size", F.lit(0)), F.lit(0)).cast("long").alias("size"))
     )
 
 
+def live_files(objects: DataFrame) -> DataFrame:
+    """One row per live file: (project, path, hash, size)."""
+    return _newest(live_plain_rows(objects))
+
+
+def live_objects(objects: DataFrame) -> DataFrame:
+    """One row per (project, path) with an open row, packs, directories and symlinks included: (project, path, hash, size).
+
+    Of several open rows the one stands that stands for a live file.  Null projects and paths are keys.
+    """
+    return _newest(objects.where(F.col("stop_version").isNull()))
+
+
 def _pack_id(level: int, *parts: Column) -> Column:
     text = [F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
     return F.concat(F.lit(f"L{level}-"), F.md5(F.concat_ws("\1", *text)))

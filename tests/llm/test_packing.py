@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arbordelta.llm import queries
 from arbordelta.llm.packing import configurations, divided, pack_items, pack_lengths, utilisation
+from arbordelta.schema import DIR_BIT, LINK_BIT
 
 SCHEMA = "tar_id long, content binary, piece long, container string"
 
@@ -72,3 +74,22 @@ def test_each_object_once_and_only_the_oversize_divided(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, bytes(150), 9, "x")], SCHEMA)
     assert sorted((r.piece, r.length) for r in pack_items(df, ["tar_id"], F.octet_length("content"), 100).collect()) == [(0, 100), (1, 50)]
+
+
+def test_every_live_object_has_a_place(spark, tmp_path):
+    schema = "project long, start_version long, stop_version long, path string, hash string, mode long, size long, packed boolean, loaded_at timestamp_ntz"
+
+    def obj(path, size, mode=420, packed=False, project=1, start=1, stop=None, hash="h"):
+        return project, start, stop, path, hash, mode, size, packed, None
+
+    rows = [
+        obj("f", 10), obj("f", 10), obj("pack/", 1_200_000, 0, True), obj("d/", 0, DIR_BIT), obj("link", 7, LINK_BIT), obj("unknown", 11, packed=None), obj("no mode", 12, None),
+        obj(None, 13), obj("n", 14, project=None), obj("null", None), obj("neg", -1), obj("two", 5, hash="z"), obj("two", 3, start=2),
+        obj("closed", 9, stop=5), obj("closed/", 9, 0, True, stop=5)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/objects.parquet")
+    pieces = {}
+    for r in queries.p2_object_placements(spark, str(tmp_path)).collect():
+        pieces.setdefault((r.project, r.path), []).append(r.length)
+    assert {k: sorted(v) for k, v in pieces.items()} == {
+        (1, "f"): [10], (1, "pack/"): [151_424, 524_288, 524_288], (1, "d/"): [0], (1, "link"): [7], (1, "unknown"): [11], (1, "no mode"): [12],
+        (1, None): [13], (None, "n"): [14], (1, "null"): [0], (1, "neg"): [0], (1, "two"): [3]}
