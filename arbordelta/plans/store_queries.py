@@ -184,6 +184,13 @@ def inspect_given(spark, sf_dir):
     return reads.inspect(t.objects, t.projects)
 
 
+@query()
+def inspect_members_given(spark, sf_dir):
+    """Live objects as a full read sends them, members of packs one by one; inspect and inspect_given, like their SQL, count rows."""
+    t = given(spark, sf_dir)
+    return reads.inspect(t.objects, t.projects, reads.get_objects(t.objects, t.contents, t.projects, ObjectQuery(is_prefix=True)))
+
+
 @query("select project, count(*) as total_objects_count from objects group by project", store=False)
 def inspect_total(spark, sf_dir):
     return given(spark, sf_dir).objects.groupBy("project").agg(F.count(F.lit(1)).alias("total_objects_count"))

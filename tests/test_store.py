@@ -298,3 +298,30 @@ def test_step_function():
                     size, chunk = 0, chunk + 1
             # A segment's start is a size within the limit, so nothing ends before its first byte.
             assert tarstream.apply_step(*f, sum(sizes), start) == (size, chunk), (sizes, limit, start)
+
+
+def test_inspect_counts_members_of_packs(spark, tmp_path):
+    from arbordelta.plans.store_queries import inspect_members_given
+    from arbordelta.schema import CACHE_VERSIONS
+
+    def pack(n):
+        return packs.encode_pack([Member(f"{i}", 420, 1, False, b"x") for i in range(n)])
+
+    # (project, start, stop, path, content, packed); project 3 has latest_version 4
+    rows = [
+        (1, 1, None, "f", b"f", False), (1, 1, None, "p/", pack(5), True), (1, 2, None, "q/", pack(3), True), (1, 1, 2, "old/", pack(7), True), (1, 0, None, "zero/", pack(9), True),
+        (2, 1, None, "p/", pack(5), True), (2, 1, None, "lost/", b"not in contents", True), (3, 1, 5, "p/", pack(2), True), (3, 5, None, "later/", pack(2), True), (3, 2, 4, "f", b"f", False)]
+    blobs = {c for *_, c, _ in rows if c != b"not in contents"}
+    tables = {
+        "projects": spark.createDataFrame([(1, 2, None), (2, 1, []), (3, 4, None), (4, 0, None)], PROJECTS),
+        "objects": spark.createDataFrame([(p, s, e, path, sha(c), 0, len(c), packed) for p, s, e, path, c, packed in rows], OBJECTS),
+        "contents": contents(spark, blobs), "cache_versions": spark.createDataFrame([], CACHE_VERSIONS)}
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    latest, live, total = {1: 2, 2: 1, 3: 4, 4: 0}, dict.fromkeys(range(1, 5), 0), dict.fromkeys(range(1, 5), 0)
+    for p, s, e, _, c, packed in rows:
+        total[p] += 1
+        if 0 < s <= latest[p] and (e is None or e > latest[p]):
+            live[p] += len(packs.decode_pack(c)) if packed and c in blobs else 1
+    assert live == {1: 9, 2: 6, 3: 2, 4: 0}
+    assert sorted(map(tuple, inspect_members_given(spark, str(tmp_path)).collect())) == [(p, latest[p], live[p], total[p]) for p in range(1, 5)]
