@@ -24,3 +24,10 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_feed_is_a_batch(spark):
+    from arbordelta.plans import store_queries
+
+    assert store_queries._batch_all(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert {"update_objects_all", "update_batch_all", "update_stream_all"} <= set(SQL) and "% 97" not in store_queries._BATCH_ALL
