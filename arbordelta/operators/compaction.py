@@ -1,49 +1,55 @@
 """Size-tiered incremental compaction of small files.
 
-Files are merged level by level.  On level 0 the bucket is a directory: once
-it directly holds `min_files` different live files below the first tier's
-limit, they become packs.  On later levels the bucket is the project, and
-what is still below the level's limit, packs of earlier levels included, is
-merged with its like.  Which pack an input goes to follows from a hash of the
-input and the number of packs of its bucket, so no bucket is ever sorted or
-gathered in one task.
-
-Every merge is a transaction whose id follows from its level, its output and
-its inputs.  :class:`CompactionStore` keeps them in a journal; a transaction
-that the journal holds is not done again.
+Items are files and the packs of earlier rounds.  The class of an item is the
+number of the policy's bounds that its size reaches.  A round merges like with
+like: on level 0 the tiny files directly in one directory, once there are
+`min_files` of them; on level k + 1 the items of class k of one project, once
+there are `min_files` (class 0) or `fan_in` (the others) of them.  What is due
+becomes packs of about `target` bytes, so a large bucket takes one step; which
+pack an input goes to follows from a hash of the input and the number of packs
+of its bucket, so no bucket is sorted or gathered.  Items that aren't due, and
+packs that have reached the last bound, are left alone.
+
+:class:`CompactionStore` keeps the packs.  A round is one transaction of the
+journal, published by one exclusive rename, and records of each merge only what
+it has written: the merge, its inputs, its output.  The tiers are read from the
+journal: a round sees the live files that no pack holds, and the packs as they
+are.  Members that are no longer live are recorded as dropped and don't count;
+they leave with the next merge of their pack.  A round with nothing due and
+nothing dropped publishes nothing, so repeating one changes nothing.
 
 Defined results.  A live file is a (project, path) with a row whose
 stop_version is null, packed is false and mode has neither the directory nor
 the symlink bit (a null mode has none, a null packed is not false).  Of several
 such rows the one with the highest (start_version, loaded_at, hash, size)
-stands.  Null and negative sizes take no room; only sizes from 0 to below the
-first limit count towards `min_files`.  Null paths belong to no directory and
-are left alone.  Empty tables give empty results.  Extra columns are ignored.
+stands; a file is tiny, too, if any of them is.  Null and negative sizes take no
+room and don't count towards `min_files`.  Null paths belong to no directory and
+are left alone.  A live file whose contents are missing is kept with null bytes.
+Empty tables give empty results.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordelta.schema import DIR_BIT, LINK_BIT
+from arbordelta.sources.commits import Commits
 from arbordelta.sources.scratch import written
 
 
 @dataclass(frozen=True)
 class TierPolicy:
-    """limits[i]: inputs of level i are below it; targets[i]: bytes of its packs; max_inputs: what one pack takes in at most, about."""
+    """target is at least the last bound; max_inputs: what one pack takes in at most, about."""
 
-    limits: tuple[int, ...] = (4096, 65536, 1048576)
-    targets: tuple[int, ...] = (65536, 1048576, 16777216)
+    bounds: tuple[int, ...] = (4096, 65536, 1048576, 16777216)
     min_files: int = 16
-    min_inputs: int = 2
+    fan_in: int = 4
+    target: int = 16777216
     max_inputs: int = 65536
 
 
@@ -65,29 +71,17 @@ def live_plain_rows(objects: DataFrame) -> DataFrame:
     )
 
 
-def triggered_directories(objects: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Level 0 buckets that are due: (project, dir_path, n_files)."""
-    small = live_plain_rows(objects).where((F.col("size") >= 0) & (F.col("size") < policy.limits[0]))
-    return (
-        small.select("project", "path").distinct()
-        .groupBy("project", directory(F.col("path")).alias("dir_path"))
-        .agg(F.count(F.lit(1)).alias("n_files"))
-        .where(F.col("n_files") >= policy.min_files)
-    )
-
-
-def _newest(rows: DataFrame) -> DataFrame:
+def _newest(rows: DataFrame, tiny: int = 0) -> DataFrame:
     loaded = F.col("loaded_at") if "loaded_at" in rows.columns else F.lit(None).cast("timestamp")
     best = F.max(F.struct(F.col("start_version"), loaded.alias("loaded_at"), F.col("hash"), F.col("size")))
-    return (
-        rows.groupBy("project", "path").agg(best.alias("b"))
-        .select("project", "path", F.col("b.hash").alias("hash"), F.greatest(F.coalesce("b.size", F.lit(0)), F.lit(0)).cast("long").alias("size"))
-    )
+    counted = F.coalesce(F.max((F.col("size") >= 0) & (F.col("size") < tiny)), F.lit(False))
+    return rows.groupBy("project", "path").agg(best.alias("b"), counted.alias("counted")).select(
+        "project", "path", F.col("b.hash").alias("hash"), F.greatest(F.coalesce("b.size", F.lit(0)), F.lit(0)).cast("long").alias("size"), "counted")
 
 
-def live_files(objects: DataFrame) -> DataFrame:
-    """One row per live file: (project, path, hash, size)."""
-    return _newest(live_plain_rows(objects))
+def live_files(objects: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> DataFrame:
+    """One row per live file: (project, path, hash, size, counted); counted: it counts as tiny towards `min_files`."""
+    return _newest(live_plain_rows(objects), policy.bounds[0])
 
 
 def live_objects(objects: DataFrame) -> DataFrame:
@@ -95,153 +89,198 @@ def live_objects(objects: DataFrame) -> DataFrame:
 
     Of several open rows the one stands that stands for a live file.  Null projects and paths are keys.
     """
-    return _newest(objects.where(F.col("stop_version").isNull()))
+    return _newest(objects.where(F.col("stop_version").isNull())).drop("counted")
+
 
+def size_class(size: Column, policy: TierPolicy) -> Column:
+    return sum((F.when(size >= b, 1).otherwise(0) for b in policy.bounds), F.lit(0))
 
-def _pack_id(level: int, *parts: Column) -> Column:
-    text = [F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
-    return F.concat(F.lit(f"L{level}-"), F.md5(F.concat_ws("\1", *text)))
 
+def _digest(*parts: Column) -> Column:
+    return F.md5(F.concat_ws("\1", *[F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]))
 
-def _slots(n_bytes: Column, n_inputs: Column, level: int, policy: TierPolicy) -> Column:
-    """How many packs a bucket gets."""
-    return F.greatest(F.lit(1).cast("long"), F.ceil(n_bytes / F.lit(policy.targets[level])).cast("long"), F.ceil(n_inputs / F.lit(policy.max_inputs)).cast("long"))
 
+def _slots(n_bytes: Column, n_inputs: Column, policy: TierPolicy) -> Column:
+    """How many packs a bucket gets: always fewer than inputs, so rounds come to an end."""
+    wanted = F.greatest(F.lit(1).cast("long"), F.floor(n_bytes / F.lit(policy.target)).cast("long"), F.ceil(n_inputs / F.lit(policy.max_inputs)).cast("long"))
+    return F.greatest(F.lit(1).cast("long"), F.least(wanted, n_inputs - 1))
 
-class Plan(NamedTuple):
-    """placements: (project, path, hash, size, pack_id), one row per live file that a pack takes in.
 
-    journal: (txn_id, level, project, output, n_inputs, n_bytes, inputs_digest), one row per merge.
-    inputs: (level, output, input), one row per input of a merge; files are named F-<digest of project and path>.
+MEMBER = "pack_id string, project long, path string, hash string, size long, bytes binary, tier int"
+
+
+class Round(NamedTuple):
+    """merges: (txn_id, level, project, dir_path, output, n_inputs, n_bytes, inputs_digest), one row per merge.
+
+    moves: (output, item, project, path, hash, size, tier), one row per input: a file has a path, a pack a tier.
+    dropped: (pack_id, project, path) of members that are no longer live.
     """
 
-    placements: DataFrame
-    journal: DataFrame
-    inputs: DataFrame
-
-
-def plan_compaction(objects: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> Plan:
-    files = live_files(objects).withColumn("dir_path", directory(F.col("path")))
-    due = triggered_directories(objects, policy).select("project", "dir_path", F.lit(True).alias("due"))
-    small = files.where(F.col("size") < policy.limits[0])
-    room = small.groupBy("project", "dir_path").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("inputs"))
-    slots = due.join(room, due["project"].eqNullSafe(room["project"]) & (due["dir_path"] == room["dir_path"])).select(
-        due["project"], due["dir_path"], _slots(F.col("bytes"), F.col("inputs"), 0, policy).alias("slots"))
-    f, s = files.alias("f"), slots.alias("s")
-    merged = (F.col("s.slots").isNotNull()) & (F.col("f.size") < policy.limits[0])
-    file_id = F.concat(F.lit("F-"), F.md5(F.concat_ws("\1", F.coalesce(F.col("f.project").cast("string"), F.lit("\0")), F.col("f.path"))))
-    assigned = f.join(s, F.col("f.project").eqNullSafe(F.col("s.project")) & (F.col("f.dir_path") == F.col("s.dir_path")), "left").select(
-        "f.project", "f.path", "f.hash", "f.size", file_id.alias("file"),
-        F.when(merged, _pack_id(0, F.col("f.project"), F.col("f.dir_path"), F.pmod(F.xxhash64("f.path"), F.col("s.slots")))).otherwise(file_id).alias("item"))
-    items = assigned.groupBy("project", "item").agg(
-        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path", "hash")).alias("digest"))
-    inputs = [assigned.where(F.col("item") != F.col("file")).select(F.lit(0).alias("level"), F.col("item").alias("output"), F.col("file").alias("input"))]
-    journal = [_transactions(0, items.where(F.col("item").startswith("L0-")).withColumnRenamed("item", "output"))]
-    chain = items.select("project", "item", F.col("item").alias("pack_id"))
-    current = items.select("project", F.col("item").alias("pack_id"), "size")
-    for level in range(1, len(policy.limits)):
-        below = F.col("size") < policy.limits[level]
-        stats = current.where(below).groupBy("project").agg(F.count(F.lit(1)).alias("inputs"), F.sum("size").alias("bytes"))
-        stats = stats.where(F.col("inputs") >= policy.min_inputs).select(F.col("project").alias("p"), _slots(F.col("bytes"), F.col("inputs"), level, policy).alias("slots"))
-        moved = current.join(stats, F.col("project").eqNullSafe(F.col("p")), "left").withColumn(
-            "next",
-            F.when(F.col("slots").isNotNull() & below, _pack_id(level, F.col("project"), F.pmod(F.xxhash64("pack_id"), F.col("slots"))))
-            .otherwise(F.col("pack_id")))
-        merged_items = moved.groupBy("project", "next").agg(
-            F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pack_id")).alias("digest"))
-        journal.append(_transactions(level, merged_items.where(F.col("next").startswith(f"L{level}-")).withColumnRenamed("next", "output")))
-        inputs.append(moved.where(F.col("next") != F.col("pack_id")).select(F.lit(level).alias("level"), F.col("next").alias("output"), F.col("pack_id").alias("input")))
-        step = moved.select(F.col("pack_id").alias("old"), "next")
-        chain = chain.join(step, F.col("pack_id") == F.col("old")).select("project", "item", F.col("next").alias("pack_id"))
-        current = merged_items.select("project", F.col("next").alias("pack_id"), "size")
-    final = chain.select(F.col("item").alias("i"), "pack_id").where(F.col("pack_id").startswith("L"))
-    placements = assigned.join(final, F.col("item") == F.col("i")).select("project", "path", "hash", "size", "pack_id")
-    return Plan(placements, reduce(DataFrame.unionByName, journal), reduce(DataFrame.unionByName, inputs))
-
-
-def _transactions(level: int, merges: DataFrame) -> DataFrame:
-    txn = F.md5(F.concat_ws("\1", F.lit(level), F.col("output"), F.col("n"), F.col("size"), F.col("digest")))
-    return merges.select(
-        txn.alias("txn_id"), F.lit(level).alias("level"), "project", "output",
-        F.col("n").alias("n_inputs"), F.col("size").alias("n_bytes"), F.col("digest").alias("inputs_digest"))
+    merges: DataFrame
+    moves: DataFrame
+    dropped: DataFrame
+
+
+def plan_round(objects: DataFrame, members: DataFrame | None, number: int, policy: TierPolicy = DEFAULT_POLICY) -> Round:
+    """What round `number` merges; members: (pack_id, project, path, hash, tier) of the packs so far.
+
+    Writes the live files, with where they are, and what they become to the shared folder, as both are read several times.
+    """
+    files = live_files(objects, policy).withColumn("live", F.lit(True))
+    if members is None:
+        located = files.select("project", "path", "hash", "size", "counted", "live", F.lit(None).cast("string").alias("pack_id"), F.lit(None).cast("int").alias("tier"))
+    else:
+        held = members.select(F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("hash").alias("_h"), "pack_id", "tier")
+        same = F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")) & F.col("hash").eqNullSafe(F.col("_h"))
+        located = files.join(held, same, "full_outer").select(
+            F.when(F.col("live"), F.col("project")).otherwise(F.col("_p")).alias("project"), F.coalesce("path", "_f").alias("path"), F.coalesce("hash", "_h").alias("hash"),
+            F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("counted", F.lit(False)).alias("counted"), F.coalesce("live", F.lit(False)).alias("live"), "pack_id", "tier")
+    located = written(located, "located")
+    dropped = located.where(~F.col("live")).select("pack_id", "project", "path")
+    tiny = F.col("counted") | (F.col("size") < policy.bounds[0])
+    loose = located.where(F.col("live") & F.col("pack_id").isNull()).withColumn("dir_path", directory(F.col("path")))
+    due = loose.where(tiny).groupBy(F.col("project").alias("_dp"), F.col("dir_path").alias("_dir")).agg(
+        F.count(F.when(F.col("counted"), 1)).alias("_n"), F.count(F.lit(1)).alias("_inputs"), F.sum("size").alias("_bytes")).where(F.col("_n") >= policy.min_files)
+    due = due.select("_dp", "_dir", _slots(F.col("_bytes"), F.col("_inputs"), policy).alias("_slots"))
+    file_id = F.concat(F.lit("F-"), _digest(F.col("project"), F.col("path"), F.col("hash")))
+    taken = tiny & F.col("_slots").isNotNull()
+    slot = F.pmod(F.xxhash64("path"), F.col("_slots"))
+    here = loose.join(due, F.col("project").eqNullSafe(F.col("_dp")) & (F.col("dir_path") == F.col("_dir")), "left").select(
+        "project", "path", "hash", "size", "tier", file_id.alias("item"), F.when(taken, F.col("dir_path")).alias("dir_path"),
+        F.when(taken, F.concat(F.lit("P0-"), _digest(F.lit(number), F.col("project"), F.col("dir_path"), slot))).alias("output"))
+    packs = located.where(F.col("live") & F.col("pack_id").isNotNull()).groupBy("project", "pack_id").agg(F.sum("size").alias("size"), F.max("tier").alias("tier"))
+    none = F.lit(None).cast("string")
+    packs = packs.select("project", none.alias("path"), none.alias("hash"), "size", "tier", F.col("pack_id").alias("item"), none.alias("dir_path"), none.alias("output"))
+    items = written(here.unionByName(packs).withColumn("class", size_class(F.col("size"), policy)), "items")
+
+    rest = items.where(F.col("output").isNull() & (F.col("class") < len(policy.bounds)))
+    like = rest.groupBy(F.col("project").alias("_lp"), F.col("class").alias("_class")).agg(F.count(F.lit(1)).alias("_inputs"), F.sum("size").alias("_bytes"))
+    like = like.where(F.col("_inputs") >= F.when(F.col("_class") == 0, policy.min_files).otherwise(policy.fan_in)).select("_lp", "_class", _slots(F.col("_bytes"), F.col("_inputs"), policy).alias("_slots"))
+    level = F.col("class") + 1
+    by_class = rest.join(like, F.col("project").eqNullSafe(F.col("_lp")) & (F.col("class") == F.col("_class"))).withColumn(
+        "output", F.concat(F.lit("P"), level.cast("string"), F.lit("-"), _digest(F.lit(number), F.col("project"), level, F.pmod(F.xxhash64("item"), F.col("_slots"))))).withColumn("level", level)
+    columns = ["level", "project", "dir_path", "output", "item", "path", "hash", "size", "tier"]
+    moved = items.where(F.col("output").isNotNull()).withColumn("level", F.lit(0)).select(columns).unionByName(by_class.select(columns))
+    # A slot that only one input fell into is no merge.
+    merges = moved.groupBy("level", "project", "dir_path", "output").agg(
+        F.count(F.lit(1)).alias("n_inputs"), F.sum("size").alias("n_bytes"), F.bit_xor(F.xxhash64("item")).alias("inputs_digest")).where("n_inputs > 1")
+    txn = _digest(F.lit(number), F.col("level"), F.col("output"), F.col("n_inputs"), F.col("n_bytes"), F.col("inputs_digest"))
+    merges = written(merges.select(txn.alias("txn_id"), "*"), "merges")
+    moves = moved.join(merges.select("output", size_class(F.col("n_bytes"), policy).cast("int").alias("new_tier")), "output")
+    return Round(merges, moves.select("output", "new_tier", "item", "project", "path", "hash", "size", "tier"), dropped)
 
 
 class CompactionStore:
-    """Packs and journal below one shared folder.
+    """Packs and their journal below one shared folder.
 
-    A run writes its packs to a folder named after the digest of its
-    transactions, then publishes it with one atomic rename of a journal entry.
-    Repeating a run whose inputs have not changed does nothing; a run that died
-    before the rename leaves a folder that no reader looks at, and is written
-    anew.  A later run supersedes an earlier pack only by naming it in its entry.
+    Every round writes to a folder of its own, which readers see once its entry
+    is published; a published folder is never written again.  Pack ids and
+    transaction ids hold the round's number, so none comes twice.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def runs(self) -> list[str]:
-        """Published run ids, oldest first."""
-        fs, Path = self._fs()
-        folder = Path(f"{self.root}/_journal")
-        if not fs.exists(folder):
-            return []
-        return [x.rpartition("-")[2] for x in sorted(s.getPath().getName() for s in fs.listStatus(folder)) if not x.startswith(".")]
+        self.spark, self.root = spark, root.rstrip("/")
+        self.commits = Commits(spark, self.root, "_journal")
+
+    def rounds(self) -> list[int]:
+        return self.commits.numbers()
+
+    def _entry(self) -> dict[str, list[str]]:
+        newest = self.commits.newest()
+        return self.commits.read(newest) if newest else {"packs": [], "merges": [], "inputs": [], "dropped": []}
+
+    def _read(self, kind: str, entry: dict | None = None) -> DataFrame | None:
+        paths = (entry or self._entry())[kind]
+        if not paths:
+            return None
+        if kind != "packs":
+            return self.spark.read.parquet(*paths)
+        return self.spark.read.schema(MEMBER).option("basePath", f"{self.root}/packs").parquet(*paths).drop("round")
 
     def journal(self) -> DataFrame | None:
-        paths = [f"{self.root}/txns/{r}" for r in self.runs()]
-        return self.spark.read.parquet(*paths) if paths else None
+        """(txn_id, level, project, dir_path, output, n_inputs, n_bytes, inputs_digest) of all merges."""
+        return self._read("merges")
 
     def inputs(self) -> DataFrame | None:
-        paths = [f"{self.root}/inputs/{r}" for r in self.runs()]
-        return self.spark.read.parquet(*paths) if paths else None
+        """(output, input) of all merges; files are named F-<digest of project, path and hash>."""
+        return self._read("inputs")
 
-    def packs(self) -> DataFrame | None:
-        """The live files of the last published run: (project, path, hash, size, pack_id, bytes)."""
-        if not (runs := self.runs()):
+    def packs(self, entry: dict | None = None, dropped: DataFrame | None = None) -> DataFrame | None:
+        """What the packs hold of live files: (pack_id, project, path, hash, size, bytes, tier)."""
+        entry = entry or self._entry()
+        if (held := self._read("packs", entry)) is None:
             return None
-        kept = [f"{self.root}/packs/{r}" for r in runs]
-        current = self.spark.read.parquet(f"{self.root}/current/{runs[-1]}")
-        return self.spark.read.parquet(*kept).join(current, ["pack_id", "txn_id"], "left_semi")
-
-    def run(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> str | None:
-        """Compacts; returns the run's id, or None if there was nothing new."""
-        plan = plan_compaction(objects, policy)
-        placements = written(plan.placements, "placements")
-        # A file's bytes are written with the pack that holds it at the end; its txn covers the whole chain below it.
-        sums = written(placements.groupBy("pack_id").agg(F.md5(F.concat_ws(
-            "\1", F.count(F.lit(1)), F.sum("size"), F.bit_xor(F.xxhash64("project", "path", "hash", "size")),
-            F.bit_xor(F.xxhash64("hash", "path", "size", "project")))).alias("txn_id")), "sums")
-        head = sums.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("pack_id", "txn_id")), F.bit_xor(F.xxhash64("txn_id", "pack_id"))).first()
-        run_id = f"{head[0]:x}x{(head[1] or 0) & (2**64 - 1):016x}{(head[2] or 0) & (2**64 - 1):016x}"
-        done = self.runs()
-        if not head[0] or (done and done[-1] == run_id):
+        retired = self._read("inputs", entry).where(F.col("input").startswith("P")).select(F.col("input").alias("pack_id"))
+        gone = [d for d in (self._read("dropped", entry), dropped) if d is not None]
+        held = held.join(retired, "pack_id", "left_anti")
+        for d in gone:
+            d = d.select(F.col("pack_id").alias("_i"), F.col("project").alias("_p"), F.col("path").alias("_f"))
+            held = held.join(d, (F.col("pack_id") == F.col("_i")) & F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")), "left_anti")
+        return held
+
+    def files(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> DataFrame:
+        """Every live file once: (project, path, hash, size, pack_id, bytes); pack_id is null where no pack holds it."""
+        live = live_files(objects, policy).drop("counted")
+        if (held := self.packs()) is not None:
+            held = held.select(F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("hash").alias("_h"), "pack_id", F.col("bytes").alias("_b"))
+            same = F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")) & F.col("hash").eqNullSafe(F.col("_h"))
+            live = live.join(held, same, "left").drop("_p", "_f", "_h")
+        else:
+            live = live.withColumn("pack_id", F.lit(None).cast("string")).withColumn("_b", F.lit(None).cast("binary"))
+        loose = F.when(F.col("pack_id").isNull(), F.lower(F.trim("hash")))
+        return live.withColumn("_k", loose).join(_blobs(contents), F.col("_k") == F.col("_c"), "left").select(
+            "project", "path", "hash", "size", "pack_id", F.coalesce("_b", "bytes").alias("bytes"))
+
+    def run(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> int | None:
+        """One round; its number, or None if nothing was due or dropped."""
+        number, entry = self.commits.newest() + 1, self._entry()
+        members = self.packs(entry)
+        plan = plan_round(objects, members if members is None else members.drop("bytes"), number, policy)
+        merges, dropped = not plan.merges.isEmpty(), not plan.dropped.isEmpty()
+        if not merges and not dropped:
             return None
-        sums.write.mode("overwrite").parquet(f"{self.root}/current/{run_id}")
-        fresh = current = self.spark.read.parquet(f"{self.root}/current/{run_id}")
-        if done:
-            old = self.spark.read.parquet(*[f"{self.root}/current/{r}" for r in done])
-            fresh = current.join(old, ["pack_id", "txn_id"], "left_anti")
-        bytes_by_hash = contents.select(F.lower(F.trim("hash")).alias("h"), F.col("bytes"))
-        rows = placements.join(fresh, "pack_id").withColumn("k", F.lower(F.trim("hash")))
-        rows = rows.join(bytes_by_hash, F.col("k") == F.col("h"), "left").select("project", "path", "hash", "size", "pack_id", "txn_id", "bytes")
-        rows.repartitionByRange("pack_id", "path").sortWithinPartitions("pack_id", "path").write.mode("overwrite").parquet(f"{self.root}/packs/{run_id}")
-        plan.journal.write.mode("overwrite").parquet(f"{self.root}/txns/{run_id}")
-        plan.inputs.write.mode("overwrite").parquet(f"{self.root}/inputs/{run_id}")
-        self._publish(run_id, len(done), head[0])
-        return run_id
-
-    def _publish(self, run_id: str, n: int, packs: int) -> None:
-        fs, Path = self._fs()
-        fs.mkdirs(Path(f"{self.root}/_journal"))
-        draft = Path(f"{self.root}/_draft-{run_id}-{os.getpid()}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"run": run_id, "packs": packs}).encode()))
-        out.close()
-        if not fs.rename(draft, Path(f"{self.root}/_journal/{n:08d}-{run_id}")):
-            fs.delete(draft, False)
-            raise RuntimeError(f"run {n} was published by someone else")
+        own = self.commits.own_folder(number)
+        packs = f"{self.root}/packs/round={os.path.basename(own)}"
+        if merges:
+            files = plan.moves.where(F.col("path").isNotNull()).withColumn("_k", F.lower(F.trim("hash"))).join(_blobs(contents), F.col("_k") == F.col("_c"), "left")
+            rows = files.select(F.col("output").alias("pack_id"), "project", "path", "hash", "size", "bytes", F.col("new_tier").alias("tier"))
+            repacked = plan.moves.where(F.col("path").isNull())
+            if members is not None and (tiers := [r[0] for r in repacked.select("tier").distinct().collect()]):  # at most one for each bound
+                new = repacked.select(F.col("item").alias("pack_id"), "output", "new_tier")
+                old = self.packs(entry, plan.dropped).where(F.col("tier").isin(tiers)).drop("tier").join(new, "pack_id")
+                rows = rows.unionByName(old.select(F.col("output").alias("pack_id"), "project", "path", "hash", "size", "bytes", F.col("new_tier").alias("tier")))
+            # A pack is bounded, and packs of a finished tier aren't read again by later rounds.
+            rows.repartition("pack_id").sortWithinPartitions("tier", "pack_id", "path").write.partitionBy("tier").parquet(packs)
+            plan.merges.write.parquet(f"{own}/merges")
+            plan.moves.select("output", F.col("item").alias("input")).write.parquet(f"{own}/inputs")
+        if dropped:
+            plan.dropped.write.parquet(f"{own}/dropped")
+        wrote = {"packs": packs, "merges": f"{own}/merges", "inputs": f"{own}/inputs"} if merges else {}
+        wrote |= {"dropped": f"{own}/dropped"} if dropped else {}
+        self.commits.publish(number, {kind: [*paths, *([wrote[kind]] if kind in wrote else [])] for kind, paths in entry.items()})
+        return number
+
+    def compact(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> list[int]:
+        """Rounds until nothing is due."""
+        done = []
+        while (number := self.run(objects, contents, policy)) is not None:
+            done.append(number)
+        return done
+
+    def vacuum(self) -> list[str]:
+        """Removes the pack folders in which every pack was merged into another; readers of older entries lose them."""
+        number, entry = self.commits.newest() + 1, self._entry()
+        if (held := self.packs(entry)) is None:
+            return []
+        alive = written(held.select("pack_id").distinct(), "alive")
+        empty = [p for p in entry["packs"] if self._read("packs", {"packs": [p]}).join(alive, "pack_id", "left_semi").isEmpty()]
+        if empty:
+            self.commits.publish(number, entry | {"packs": [p for p in entry["packs"] if p not in empty]})
+            for p in empty:
+                self.commits.remove(p)
+        return empty
+
+
+def _blobs(contents: DataFrame) -> DataFrame:
+    """(_c, bytes), one row per hash in its normal form."""
+    return contents.where(F.col("hash").isNotNull()).groupBy(F.lower(F.trim("hash")).alias("_c")).agg(F.max("bytes").alias("bytes"))

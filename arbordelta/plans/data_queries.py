@@ -7,18 +7,34 @@ from pyspark.sql import functions as F
 
 from arbordelta.operators import changes, compaction, intervals, orphans, skew
 from arbordelta.schema import table
+from arbordelta.sources.scratch import scratch_folder
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> tuple[compaction.CompactionStore, DataFrame, DataFrame]:
+    """A store in the shared folder, compacted from nothing until no merge is due."""
+    store = compaction.CompactionStore(spark, scratch_folder(spark, "packs"))
+    objects, contents = table(spark, sf_dir, "objects"), table(spark, sf_dir, "contents")
+    store.compact(objects, contents)
+    return store, objects, contents
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction.triggered_directories(table(spark, sf_dir, "objects")).select("project", "dir_path")
+    """The directories whose tiny files the journal says were merged."""
+    return _compacted(spark, sf_dir)[0].journal().where("level = 0").select("project", "dir_path").distinct()
+
+
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each live file, from the one place where it is."""
+    store, *tables = _compacted(spark, sf_dir)
+    return store.files(*tables).select("project", "path", "hash", "size", F.sha2("bytes", 256).alias("content_hash"))
 
 
 def p1_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction.plan_compaction(table(spark, sf_dir, "objects")).placements.select("project", "path", "size", "pack_id")
+    return _compacted(spark, sf_dir)[0].packs().select("project", "path", "size", "pack_id")
 
 
 def p1_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction.plan_compaction(table(spark, sf_dir, "objects")).journal.select("txn_id", "level", "project", "output", "n_inputs", "n_bytes")
+    return _compacted(spark, sf_dir)[0].journal().select("txn_id", "level", "project", "output", "n_inputs", "n_bytes")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +78,7 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_placements, p1_journal, p3_found, p3_state, p4_found, p4_totals, p5_found, p5_periods, p6_found, p6_counts)}
+    p1_found, p1_files, p1_placements, p1_journal, p3_found, p3_state, p4_found, p4_totals, p5_found, p5_periods, p6_found, p6_counts)}
 
 _LAST_REQUESTS = """
 with ranked as (
@@ -114,6 +130,13 @@ select project, dir_path from (
   from objects where stop_version is null and not packed and path is not null and size between 0 and 4095
     and (coalesce(mode, 0) & 2147483648) = 0 and (coalesce(mode, 0) & 134217728) = 0) t
 group by project, dir_path having count(*) >= 16""",
+    "p1_files": """
+select o.project, o.path, o.hash, o.size, sha256(c.bytes) as content_hash from (
+  select project, path, hash, cast(greatest(coalesce(size, 0), 0) as bigint) as size, row_number() over (
+    partition by project, path order by start_version desc nulls last, loaded_at desc nulls last, hash desc nulls last, objects.size desc nulls last) as rn
+  from objects where stop_version is null and not packed and path is not null
+    and (coalesce(mode, 0) & 2147483648) = 0 and (coalesce(mode, 0) & 134217728) = 0) o
+left join contents c on lower(trim(c.hash)) = lower(trim(o.hash)) where rn = 1""",
     "p3_found": _LAST_REQUESTS + "select project, path, seq from last_write",
     "p3_state": _LAST_REQUESTS + "select project, path, mode, sha256(content) as content_hash from last_write",
     "p4_found": """

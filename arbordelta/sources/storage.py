@@ -11,8 +11,6 @@ are never disturbed.
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +18,8 @@ from pyspark.sql import functions as F
 
 from arbordelta.operators.mutate import State, Update
 from arbordelta.schema import CACHE_VERSIONS, CONTENTS, OBJECTS, PROJECTS
+from arbordelta.sources.commits import Commits
+from arbordelta.sources.commits import Conflict as Conflict
 
 SCHEMAS = {"projects": PROJECTS, "objects": OBJECTS, "contents": CONTENTS, "cache_versions": CACHE_VERSIONS}
 BUCKETS = 64
@@ -27,26 +27,14 @@ BUCKETS = 64
 LAYOUT = {"objects": ["project", "start_version", "path"], "contents": ["hash"]}
 
 
-class Conflict(RuntimeError):
-    pass
-
-
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    def _fs(self):
-        Path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()), Path
-
-    def _names(self, folder: str) -> list[str]:
-        fs, Path = self._fs()
-        where = Path(folder)
-        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        self.commits = Commits(spark, root)
 
     def generation(self) -> int:
         """The newest; 0 before the first commit."""
-        return max((int(n) for n in self._names(f"{self.root}/_commits") if n.isdigit()), default=0)
+        return self.commits.newest()
 
     def entry(self, generation: int | None = None) -> dict:
         """{"parts": {table: {bucket: [path, ...]}}, "batches": {stream: number}, "buckets": n} of a generation.
@@ -54,14 +42,7 @@ class Store:
         Tables other than objects have the one bucket "-".
         """
         generation = self.generation() if generation is None else generation
-        if not generation:
-            return {"parts": {}, "batches": {}, "buckets": self.buckets}
-        fs, Path = self._fs()
-        stream = fs.open(Path(f"{self.root}/_commits/{generation}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+        return self.commits.read(generation) if generation else {"parts": {}, "batches": {}, "buckets": self.buckets}
 
     def bucket(self, project: Column, generation: int | None = None) -> Column:
         return F.pmod(project, F.lit(self.entry(generation)["buckets"]))
@@ -87,7 +68,7 @@ class Store:
         number) that this commit holds, kept for replays.
         """
         entry = self.entry(read)
-        own = f"{self.root}/data/{read + 1:08d}-{uuid.uuid4().hex}"
+        own = self.commits.own_folder(read + 1)
         for name, df in (replace or {}).items():
             new = self._write(f"{own}/{name}", name, df, entry["buckets"])
             kept = entry["parts"].get(name, {}) if name == "objects" and buckets is not None else {}
@@ -99,15 +80,7 @@ class Store:
                 old[b] = [*old.get(b, []), *paths]
         if batch:
             entry["batches"][batch[0]] = batch[1]
-        fs, Path = self._fs()
-        fs.mkdirs(Path(f"{self.root}/_commits"))
-        fs.mkdirs(Path(own))
-        draft, final = Path(f"{own}/_entry"), Path(f"{self.root}/_commits/{read + 1}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(entry).encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            raise Conflict(f"generation {read + 1} exists already")
+        self.commits.publish(read + 1, entry)
         return read + 1
 
     def _write(self, path: str, name: str, df: DataFrame, buckets: int) -> dict[str, list[str]]:
@@ -123,7 +96,7 @@ class Store:
         writer.parquet(path)
         if name != "objects":
             return {"-": [path]}
-        return {n.removeprefix("bucket="): [f"{path}/{n}"] for n in self._names(path) if n.startswith("bucket=")}
+        return {n.removeprefix("bucket="): [f"{path}/{n}"] for n in self.commits.names(path) if n.startswith("bucket=")}
 
     def commit_state(self, read: int, before: State, after: State, buckets: Collection[int] | None = None) -> int:
         """Publishes the tables in which two states differ; with `buckets`, both hold objects of these only."""

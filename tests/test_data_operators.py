@@ -2,7 +2,7 @@
 
 import random
 
-from arbordelta.operators import changes, compaction, orphans, skew
+from arbordelta.operators import changes, orphans, skew
 from arbordelta.schema import DIR_BIT, LINK_BIT
 
 OBJECT = "project long, start_version long, stop_version long, path string, hash string, mode long, size long, packed boolean, loaded_at timestamp_ntz, run string, slots string"
@@ -29,48 +29,6 @@ def dirty_objects():
     return rows
 
 
-def test_triggered_directories(spark):
-    got = compaction.triggered_directories(spark.createDataFrame(dirty_objects(), OBJECT)).collect()
-    assert sorted((r.project, r.dir_path, r.n_files) for r in got) == [(1, "d/", 16), (2, "", 20)]
-    assert compaction.triggered_directories(spark.createDataFrame([], OBJECT)).count() == 0
-
-
-def test_compaction_places_each_file_once(spark):
-    df = spark.createDataFrame(dirty_objects(), OBJECT)
-    placements, journal, inputs = compaction.plan_compaction(df)
-    got = [tuple(r) for r in placements.select("project", "path", "hash", "size").collect()]
-    assert len({r[:2] for r in got}) == len(got)
-    assert set(got) <= {tuple(r) for r in compaction.live_files(df).select("project", "path", "hash", "size").collect()}
-    assert (4, "two", "new", 7) in got and len([r for r in got if r[0] == 1]) >= 16 + 15
-    steps = journal.collect()
-    assert len({r.txn_id for r in steps}) == len(steps) and {r.level for r in steps} >= {0, 1, 2}
-    named = {}
-    for r in inputs.collect():
-        named.setdefault((r.level, r.output), set()).add(r.input)
-    assert {(r.level, r.output): r.n_inputs for r in steps} == {k: len(v) for k, v in named.items()}
-    again = compaction.plan_compaction(df.union(df).orderBy("path"))[1].collect()
-    assert {r.txn_id for r in again} == {r.txn_id for r in steps}
-    empty = compaction.plan_compaction(spark.createDataFrame([], OBJECT))
-    assert empty[0].count() == empty[1].count() == 0
-
-
-def test_compaction_store_is_idempotent(spark, tmp_path):
-    rows = dirty_objects()
-    contents = spark.createDataFrame([("h", b"bytes"), ("new", b"7")], "hash string, bytes binary")
-    store = compaction.CompactionStore(spark, f"file://{tmp_path}")
-    assert store.packs() is None and store.journal() is None
-    first = store.run(spark.createDataFrame(rows, OBJECT), contents)
-    assert first and store.run(spark.createDataFrame(rows[::-1], OBJECT), contents) is None
-    planned = compaction.plan_compaction(spark.createDataFrame(rows, OBJECT))[0]
-    key = lambda df: sorted((str(r.project), r.path, r.pack_id) for r in df.collect())
-    assert key(store.packs()) == key(planned)
-    assert {bytes(r.bytes) for r in store.packs().where("hash = 'new'").collect()} == {b"7"}
-    more = [*rows, *[obj(project=9, path=f"z/{i}", hash="new") for i in range(30)]]
-    assert store.run(spark.createDataFrame(more, OBJECT), contents) not in (None, first)
-    assert key(store.packs()) == key(compaction.plan_compaction(spark.createDataFrame(more, OBJECT))[0])
-    assert len(store.runs()) == 2 and store.journal().count() > 0 and store.inputs().count() > 0
-
-
 def model_changes(requests, projects):
     last = {p[0]: p[1] for p in projects if p[0] is not None}
     best = {}
