@@ -37,14 +37,23 @@ def p1_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compacted(spark, sf_dir)[0].journal().select("txn_id", "level", "project", "output", "n_inputs", "n_bytes")
 
 
+def _feed(spark: SparkSession, sf_dir: str) -> changes.EqualityDeleteTable:
+    """The feed in a table in the shared folder, in two batches: first the retries, then what they retry."""
+    requests, feed = table(spark, sf_dir, "update_requests"), changes.EqualityDeleteTable(spark, scratch_folder(spark, "feed"))
+    retry = F.coalesce(F.col("attempt") > 1, F.lit(False))
+    feed.append("retries", requests.where(retry))
+    feed.append("first attempts", requests.where(~retry))
+    return feed
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = changes.apply_changes(table(spark, sf_dir, "update_requests"), table(spark, sf_dir, "projects"))
-    return live.select("project", "path", "seq")
+    return _feed(spark, sf_dir).read(table(spark, sf_dir, "projects")).select("project", "path", "seq")
 
 
 def p3_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = changes.apply_changes(table(spark, sf_dir, "update_requests"), table(spark, sf_dir, "projects"))
-    return live.select("project", "path", "mode", F.sha2("content", 256).alias("content_hash"))
+    feed = _feed(spark, sf_dir)
+    feed.compact()
+    return feed.read(table(spark, sf_dir, "projects")).select("project", "path", "mode", F.sha2("content", 256).alias("content_hash"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,22 +57,48 @@ def dirty_requests(rng):
     return rows
 
 
-def test_changes_against_model(spark):
+def fed(spark, root, batches):
+    store = changes.EqualityDeleteTable(spark, str(root))
+    for name, rows in batches:
+        store.append(name, spark.createDataFrame(rows, REQUEST))
+    return store
+
+
+def found(df):
+    return sorted((r.project, r.path, r.seq) for r in df.collect())
+
+
+def test_changes_against_model(spark, tmp_path):
     rows, projects = dirty_requests(random.Random(4)), [(1, 2, None), (2, 9, None), (3, None, None), (None, 3, None)]
     known = [(p, -1 if v is None else v) for p, v, _ in projects]
-    got = changes.apply_changes(spark.createDataFrame(rows, REQUEST), spark.createDataFrame(projects, PROJECT)).collect()
-    assert sorted((r.project, r.path, r.seq) for r in got) == model_changes(rows, known)
-    assert changes.apply_changes(spark.createDataFrame([], REQUEST), spark.createDataFrame(projects, PROJECT)).count() == 0
+    parents = spark.createDataFrame(projects, PROJECT)
+    assert found(fed(spark, tmp_path / "a", [("all", rows)]).read(parents)) == model_changes(rows, known)
+    assert found(fed(spark, tmp_path / "b", [("none", [])]).read(parents)) == []
+    assert found(fed(spark, tmp_path / "a", []).read(spark.createDataFrame([], PROJECT))) == []
 
 
 def test_equality_delete_table_takes_batches_in_any_order(spark, tmp_path):
     rows, projects = dirty_requests(random.Random(6)), [(1, 2), (2, 9), (3, -1)]
     known = spark.createDataFrame([(p, v, None) for p, v in projects], PROJECT)
-    store = changes.EqualityDeleteTable(spark, str(tmp_path))
     third = len(rows) // 3
-    for batch in (2, 0, 1, 2):
-        store.append(str(batch), spark.createDataFrame(rows[batch * third:(batch + 1) * third + 5], REQUEST))
-    assert sorted((r.project, r.path, r.seq) for r in store.read(known).collect()) == model_changes(rows[:3 * third + 5], projects)
+    parts = [(str(b), rows[b * third:(b + 1) * third + 5]) for b in (2, 0, 1)]
+    store = fed(spark, tmp_path, parts[:2])
+    store.compact()
+    assert store.append(*parts[0][:1], spark.createDataFrame(parts[0][1], REQUEST)) is False
+    store.append(parts[2][0], spark.createDataFrame(parts[2][1], REQUEST))
+    want = model_changes(rows[:3 * third + 5], projects)
+    assert found(store.read(known)) == want
+    store.compact()
+    assert found(store.read(known)) == want and len(store.commits.read(store.commits.newest())["folders"]) == 1
+
+
+def test_ties_have_a_defined_winner(spark, tmp_path):
+    base = (1, 1, 1, 1, "a", 420, 1, False)
+    rows = [(*base, c, when(0), 1) for c in (b"1", None, b"2", b"2")] + [(1, 1, 1, 1, "a", 420, 1, True, None, when(1), 1)]
+    known = spark.createDataFrame([(1, 1, None)], PROJECT)
+    for k, order in enumerate((rows, rows[::-1])):
+        [r] = fed(spark, tmp_path / str(k), [("x", order)]).read(known).collect()
+        assert (r.path, r.seq, bytes(r.content)) == ("a", 1, b"2")
 
 
 def test_change_feed_stream(spark, tmp_path):
@@ -84,8 +110,7 @@ def test_change_feed_stream(spark, tmp_path):
     for part in (rows[::2], rows[1::2]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
         start_change_feed(spark.readStream.schema(schema).parquet(str(tmp_path / "feed")), store, str(tmp_path / "checkpoint")).awaitTermination()
-    got = store.read(spark.createDataFrame([(p, v, None) for p, v in projects], PROJECT)).collect()
-    assert sorted((r.project, r.path, r.seq) for r in got) == model_changes(rows, projects)
+    assert found(store.read(spark.createDataFrame([(p, v, None) for p, v in projects], PROJECT))) == model_changes(rows, projects)
 
 
 def test_totals_and_heavy_projects(spark):
@@ -102,10 +127,10 @@ def test_orphans(spark):
             obj(project=None, hash="ab"), obj(hash="late", day=None), obj(hash="cd", path="m")]
     contents = spark.createDataFrame([("ab", b"", when(-1)), ("late", b"", when(3)), (None, b"", when(3)), ("nulltime", b"", None)], "hash string, bytes binary, loaded_at timestamp_ntz")
     projects = spark.createDataFrame([(1, 1, when(-9)), (3, 1, when(1)), (None, 1, None)], PROJECT)
-    found = orphans.orphan_rows(spark.createDataFrame(rows, OBJECT), contents, projects)
-    assert sorted(tuple(r) for r in found.collect()) == [
+    broken = orphans.orphan_rows(spark.createDataFrame(rows, OBJECT), contents, projects)
+    assert sorted(tuple(r) for r in broken.collect()) == [
         ("contents", "late", "2023-12", 1, 1, "d/f"), ("contents", "missing", "2024-01", 1, 1, "m"),
         ("projects", "late", "2024-01", 3, 1, "d/f"), ("projects", "missing", "2024-01", 2, 1, "d/f")]
-    assert {(r.ref_table, r.state, r.period): r.n for r in orphans.orphan_counts(found).collect()}[("contents", "missing", "2024-01")] == 1
+    assert {(r.ref_table, r.state, r.period): r.n for r in orphans.orphan_counts(broken).collect()}[("contents", "missing", "2024-01")] == 1
     assert orphans.orphan_rows(spark.createDataFrame([], OBJECT), contents, projects).count() == 0
     assert orphans.orphan_rows(spark.createDataFrame(rows, OBJECT), contents.limit(0), projects.limit(0)).count() > 4
