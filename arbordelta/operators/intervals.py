@@ -8,7 +8,8 @@ the periods that touch its edges, with their reach, and the hull of the others:
 at most a few rows for each shard that an entity occupies, however many
 intervals it has.  It stitches what touches and says which shards are covered
 from end to end; in these the periods and gaps of level 1 are void.  Repeated
-and equally clipped intervals are folded before the first shuffle.
+and equally clipped intervals are folded before the first shuffle.  The periods
+of level 1 are written to the shared folder, as both levels read them.
 
 Defined results.  Intervals with a null start, or a stop at or before the
 start, are void; a null stop is an open end.  Touching intervals belong to one
@@ -21,9 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbordelta.sources.scratch import written
+
 #: An open end.
 OPEN = (1 << 63) - 1
-SHARD_BITS = 12
+#: 64 versions a shard: few enough that an entity's long history spreads over many tasks.
+SHARD_BITS = 6
 
 
 def _lower(shard: Column, bits: int) -> Column:
@@ -79,7 +83,8 @@ def _levels(df: DataFrame, keys: list[str], start: str, stop: str, bits: int) ->
     periods = _sweep(_clip(df, keys, start, stop, bits), local).groupBy(*local, "run").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("reach").alias("reach"), F.max("differ").alias("differ"))
     shard = F.col("shard")
-    periods = periods.withColumn("inner", (F.col("lo") > _lower(shard, bits)) & (F.col("hi") < _upper(shard, bits)))
+    # Both levels go on from here: written once, not swept twice.
+    periods = written(periods.withColumn("inner", (F.col("lo") > _lower(shard, bits)) & (F.col("hi") < _upper(shard, bits))), "periods")
     hulls = periods.groupBy(*local, "inner", F.when(~F.col("inner"), F.col("run")).alias("_own")).agg(
         F.min("lo").alias("lo"), F.max("reach").alias("hi"), F.max(F.col("differ") & ~F.col("inner")).alias("differ"))
     swept = _sweep(hulls.select(*keys, "shard", "inner", "lo", "hi", "differ"), keys)

@@ -6,7 +6,8 @@ parents that came later than that moment.  Only those broken keys are joined
 back to the referring rows.  The distinct step is a partial aggregation, so a
 key in a third of the rows is one row per task; in the join back the broken key
 is unique, and the referring side's hot partitions are split by adaptive
-execution.
+execution.  The referring table is read twice, for its keys and for the join
+back, however many references it has.
 
 Defined results.  Null keys refer to nothing and are no case.  Hashes are
 compared in lower case without spaces around them, and 64 zeros refer to nothing.
@@ -16,41 +17,70 @@ either side is not late.  Repeated parents count with their earliest time.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbordelta.schema import ZERO_HASH
+from arbordelta.sources.scratch import written
 
 
 def normal_hash(hash_: Column) -> Column:
     return F.lower(F.trim(hash_))
 
 
-def broken_references(rows: DataFrame, key: Column, parents: DataFrame, parent_key: Column, ref_table: str) -> DataFrame:
-    """rows, with ref_table, state (`missing`, `late`) and period, whose key is broken."""
-    rows = rows.withColumn("_k", key).where(F.col("_k").isNotNull())
-    keys = rows.groupBy("_k").agg(F.min("loaded_at").alias("_first"))
-    known = parents.groupBy(parent_key.alias("_p")).agg(F.min("loaded_at").alias("_came"))
-    missing = keys.join(known, F.col("_k") == F.col("_p"), "left_anti").select(F.col("_k").alias("_b"), F.lit(None).cast(dict(parents.dtypes)["loaded_at"]).alias("_came"))
-    late = keys.join(known, F.col("_k") == F.col("_p")).where(F.col("_came") > F.col("_first")).select(F.col("_k").alias("_b"), "_came")
-    broken = missing.unionByName(late)
-    back = rows.join(broken, F.col("_k") == F.col("_b")).where(F.col("_came").isNull() | (F.col("loaded_at") < F.col("_came")))
-    return back.select(
-        *[c for c in rows.columns if c != "_k"],
-        F.lit(ref_table).alias("ref_table"),
-        F.when(F.col("_came").isNull(), "missing").otherwise("late").alias("state"),
-        F.date_format("loaded_at", "yyyy-MM").alias("period"),
-    )
+class Reference(NamedTuple):
+    """A column of the referring table, in normal form, and where its parents are."""
+
+    table: str
+    key: Column
+    parents: DataFrame
+    parent_key: Column
+
+
+def broken_keys(rows: DataFrame, references: list[Reference]) -> DataFrame:
+    """(ref_table, key, came) of keys whose parent is missing, with a null came, or later than the first row that refers to it.
+
+    One pass over `rows` gives the keys of all references; keys and parents are
+    written to the shared folder, as the anti-join and the join both read them.
+    """
+    def named(table: str, key: Column) -> Column:
+        return F.struct(F.lit(table).alias("ref_table"), key.cast("string").alias("key"))
+
+    refs = F.explode(F.array(*[named(r.table, r.key) for r in references])).alias("r")
+    keys = rows.select(refs, "loaded_at").where("r.key is not null").groupBy("r.ref_table", "r.key").agg(F.min("loaded_at").alias("first"))
+    parents = [r.parents.select(named(r.table, r.parent_key).alias("r"), "loaded_at") for r in references]
+    known = reduce(DataFrame.unionByName, parents).where("r.key is not null").groupBy("r.ref_table", "r.key").agg(F.min("loaded_at").alias("came"))
+    keys, known = written(keys, "keys"), written(known, "known")
+    missing = keys.join(known, ["ref_table", "key"], "left_anti").select("ref_table", "key", F.lit(None).cast(known.schema["came"].dataType).alias("came"))
+    late = keys.join(known, ["ref_table", "key"]).where(F.col("came") > F.col("first")).select("ref_table", "key", "came")
+    return written(missing.unionByName(late), "broken")
+
+
+def broken_references(rows: DataFrame, references: list[Reference]) -> DataFrame:
+    """rows, with ref_table, state (`missing`, `late`) and period, once for each broken reference."""
+    broken = broken_keys(rows, references)
+    joined = rows
+    for i, r in enumerate(references):
+        own = broken.where(F.col("ref_table") == r.table).select(F.col("key").alias(f"_k{i}"), F.struct(F.lit(r.table).alias("ref_table"), "came").alias(f"_b{i}"))
+        joined = joined.join(own, r.key.cast("string") == F.col(f"_k{i}"), "left")
+    hit = F.explode(F.array_compact(F.array(*[F.col(f"_b{i}") for i in range(len(references))]))).alias("_b")
+    came = F.col("_b.came")
+    return joined.select(*rows.columns, hit).where(came.isNull() | (F.col("loaded_at") < came)).select(
+        *rows.columns, F.col("_b.ref_table").alias("ref_table"), F.when(came.isNull(), "missing").otherwise("late").alias("state"),
+        F.date_format("loaded_at", "yyyy-MM").alias("period"))
 
 
 def orphan_rows(objects: DataFrame, contents: DataFrame, projects: DataFrame) -> DataFrame:
     """(ref_table, state, period, project, start_version, path), distinct."""
     rows = objects.select("project", "start_version", "path", "hash", "loaded_at")
-    hashes = rows.where(normal_hash(F.col("hash")) != ZERO_HASH)
-    by_hash = broken_references(hashes, normal_hash(F.col("hash")), contents, normal_hash(F.col("hash")), "contents")
-    by_project = broken_references(rows.drop("hash"), F.col("project"), projects, F.col("id"), "projects")
-    columns = ["ref_table", "state", "period", "project", "start_version", "path"]
-    return by_hash.select(columns).unionByName(by_project.select(columns)).distinct()
+    hash_ = normal_hash(F.col("hash"))
+    found = broken_references(rows, [
+        Reference("projects", F.col("project"), projects, F.col("id")),
+        Reference("contents", F.when(hash_ != ZERO_HASH, hash_), contents, hash_)])
+    return found.select("ref_table", "state", "period", "project", "start_version", "path").distinct()
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:
