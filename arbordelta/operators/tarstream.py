@@ -11,8 +11,9 @@ these functions are chained, per project, and then each segment is folded on
 its own with the start it was given.
 
 Packs that aren't cached are sent alone at their place; they have no chunk and
-count for nothing.  Directories, symlinks, tombstones and cached packs count by
-their path or hash as the accounting says: path bytes and content bytes of files.
+count for nothing.  What is in a chunk counts with the bytes of its path, a file
+with those of its content, too, and a cached pack with those of its hash.  A
+segment has about SEGMENT_ROWS rows, whatever the number of rows is.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ from arbordelta.sources.scratch import written
 
 #: Fixed value: a chunk ends once it holds more.
 TARGET_BYTES = 524288
+SEGMENT_ROWS = 1 << 20
 
 
 def accounted(path: Column, mode: Column, content_bytes: Column, deleted: Column) -> Column:
-    """What one object adds to its chunk: nothing for directories, symlinks and tombstones."""
-    free = is_dir(mode) | is_link(mode) | deleted
-    return F.when(free, F.lit(0)).otherwise(F.octet_length(path) + F.coalesce(content_bytes, F.lit(0))).cast("long")
+    """What one object adds to its chunk: its path, and its content unless it is a directory, a symlink or a tombstone."""
+    bare = is_dir(mode) | is_link(mode) | deleted
+    return (F.octet_length(path) + F.when(bare, F.lit(0)).otherwise(F.coalesce(content_bytes, F.lit(0)))).cast("long")
 
 
 def step_function(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,9 +109,11 @@ def tar_chunks(rows: DataFrame, limit: int = TARGET_BYTES, segments: int | None
 
     Rows with equal project and path are in no defined order among themselves.
     """
-    parts = [segments] if segments else []
-    placed = rows.select(F.coalesce("project", F.lit(-1)).cast("long").alias("project"), "path", "alone", F.col("bytes").cast("long").alias("bytes"))
-    placed = placed.repartitionByRange(*parts, "project", "path", "bytes").withColumn("segment", F.spark_partition_id().cast("long"))
+    placed = written(rows.select(F.coalesce("project", F.lit(-1)).cast("long").alias("project"), "path", "alone", F.col("bytes").cast("long").alias("bytes")), "rows")
+    if segments is None:
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        segments = max(cores, -(-placed.count() // SEGMENT_ROWS))  # the count is in the table's footers
+    placed = placed.repartitionByRange(segments, "project", "path", "bytes").withColumn("segment", F.spark_partition_id().cast("long"))
     placed = written(placed, "segments")
 
     def functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +168,8 @@ def get_tars(
     """(project, chunk, pack_path, bytes): TARs that lead from `start` to `to`.
 
     A pack that none of the `cached` versions names is sent as it is, with its
-    pack_path and no chunk; a named one is an entry that holds its hash.  With
+    pack_path and no chunk; a named one is an entry that holds its hash.  A removed
+    pack has its pack_path, too, and no bytes: whoever writes it removes the directory.  With
     compat_tombstones, tombstones are sent whatever path the query asks for.
     """
     if compat_tombstones and start:
@@ -173,7 +178,7 @@ def get_tars(
     else:
         changes = diff(objects, start, to, query.path_filter())
     rows = with_cached(changes, cache_versions, cached or [])
-    rows = rows.withColumn("is_cached", F.col("is_cached") & F.col("packed") & ~F.col("deleted")).withColumn("alone", F.col("packed") & ~F.col("is_cached") & ~F.col("deleted"))
+    rows = rows.withColumn("is_cached", F.col("is_cached") & F.col("packed") & ~F.col("deleted")).withColumn("alone", F.col("packed") & ~F.col("is_cached"))
     needed = rows.withColumn("_hash", F.col("hash")).withColumn("hash", F.when(~F.col("deleted") & ~F.col("is_cached"), F.col("hash")))
     full = with_content(needed, contents).withColumn("hash", F.col("_hash")).drop("_hash")
     # The fold sees paths and lengths only; contents are joined to their chunks afterwards.

@@ -359,7 +359,7 @@ def get_tars(spark, sf_dir):
 
 _CHUNKS = """
 with recursive rows_ as (
-  select project, path, cast(case when mode & 2147483648 <> 0 or mode & 134217728 <> 0 then 0 else strlen(path) + greatest(coalesce(size, 0), 0) end as bigint) as n,
+  select project, path, cast(strlen(path) + case when mode & 2147483648 <> 0 or mode & 134217728 <> 0 then 0 else greatest(coalesce(size, 0), 0) end as bigint) as n,
     row_number() over (partition by project order by path) as k
   from (select project, path, max(mode) as mode, max(size) as size from objects where not packed and stop_version is null and start_version > 0 group by project, path) t),
 fold(project, path, k, so_far, chunk) as (
@@ -385,6 +385,17 @@ def tar_chunks_case(spark, sf_dir):
     return tarstream.tar_chunks(rows, segments=3).select(F.col("chunk").cast("int").alias("chunk"), "path")
 
 
+@query("""select chunk, left(path, 1) as kind, strlen(path) as path_bytes, so_far from (values
+  (0, repeat('a', 9), 9), (0, repeat('b', 9), 18), (0, repeat('c', 3), 21), (1, repeat('d', 15), 15), (1, repeat('e', 1), 20), (1, repeat('f', 1), 21), (2, repeat('g', 2), 2)) t(chunk, path, so_far)""", store=False)
+def tar_accounting_case(spark, sf_dir):
+    """Directories, symlinks and tombstones count by their paths; with a limit of 20 a chunk ends beyond 20 bytes."""
+    rows = [("a" * 9, 1 << 31, 7, False), ("b" * 9, 1 << 27, 7, False), ("c" * 3, 420, 7, True), ("d" * 15, 1 << 31, 0, True), ("e", 420, 4, False), ("f", 420, 0, False), ("gg", 420, None, False)]
+    frame = spark.createDataFrame(rows, "path string, mode long, n long, deleted boolean")
+    size = tarstream.accounted(F.col("path"), F.col("mode"), F.col("n"), F.col("deleted"))
+    placed = tarstream.tar_chunks(frame.select(F.lit(1).alias("project"), "path", F.lit(False).alias("alone"), size.alias("bytes")), limit=20, segments=3)
+    return placed.select(F.col("chunk").cast("int").alias("chunk"), F.left("path", F.lit(1)).alias("kind"), F.octet_length("path").cast("long").alias("path_bytes"), F.col("bytes_so_far").cast("int").alias("so_far"))
+
+
 # --- caches
 
 @query("select hash, count(*) as n from objects where stop_version is null and packed and path like 'd2/%' group by hash order by n desc, hash limit 10")

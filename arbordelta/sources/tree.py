@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import shutil
 import stat
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -97,15 +98,22 @@ def _parents(root: str, path: str) -> None:
     for i in range(1, len(parts) + 1):
         folder = os.path.join(root, *parts[:i])
         if not os.path.isdir(folder) or os.path.islink(folder):
-            _clear(folder)
+            try:
+                os.unlink(folder)
+            except (FileNotFoundError, IsADirectoryError):  # another task has made way meanwhile
+                pass
             os.makedirs(folder, exist_ok=True)
 
 
-def write_object(root: str, path: str, mode: int, deleted: bool, content: bytes | None) -> None:
-    """One object, in place of whatever is in its way."""
+def _inside(path: str) -> str:
     if ".." in path.split("/") or path.startswith("/"):
         raise ValueError(f"{path!r} leaves the tree")
-    full = os.path.join(root, path.rstrip("/"))
+    return path
+
+
+def write_object(root: str, path: str, mode: int, deleted: bool, content: bytes | None) -> None:
+    """One object, in place of whatever is in its way."""
+    full = os.path.join(root, _inside(path).rstrip("/"))
     if deleted:
         if path.endswith("/"):
             if os.path.isdir(full) and not os.listdir(full):
@@ -152,6 +160,71 @@ def materialize(objects: DataFrame, root: str, include: str | None = None, exclu
     return objects.sparkSession.createDataFrame([(total, bool(total) and all(g for _, g in done))], "count long, file_match boolean")
 
 
+def _swap(new: str, final: str) -> None:
+    """Puts a finished directory in the place of whatever is there."""
+    _clear(final)
+    os.makedirs(os.path.dirname(final), exist_ok=True)
+    os.rename(new, final)
+
+
+def write_tar(root: str, pack_path: str | None, blob: bytes | None, cache_root: str | None = None) -> tuple[list[str], int]:
+    """(paths, how many of them came from the cache) after writing one TAR below root.
+
+    A pack is built aside and put in the place of the one on disk, so members
+    that it no longer has are gone; without bytes it is removed.  A cached entry
+    is copied from `cache_root`.
+    """
+    from arbordelta.operators.packs import decode_pack
+
+    aside = os.path.join(root, STATE_DIR, f"pack-{uuid.uuid4().hex}")
+    if pack_path is not None:
+        final = os.path.join(root, _inside(pack_path).rstrip("/"))
+        if blob is None:
+            if os.path.isdir(final) and not os.path.islink(final):
+                shutil.rmtree(final)
+            return [], 0
+    paths, cached = [], 0
+    try:
+        for m in decode_pack(blob):
+            path = m.path if pack_path is None or m.path.startswith(pack_path) else pack_path + m.path
+            paths.append(path)
+            if m.cached:
+                cached += 1
+                copy = os.path.join(root, STATE_DIR, f"pack-{uuid.uuid4().hex}")
+                shutil.copytree(os.path.join(cache_root or "", "objects", m.content.hex(), _inside(path)), copy, symlinks=True)
+                _parents(root, path)
+                _swap(copy, os.path.join(root, path.rstrip("/")))
+            else:
+                write_object(root if pack_path is None else aside, path, m.mode, m.deleted, m.content)
+        if pack_path is not None:
+            _parents(root, pack_path)
+            new = os.path.join(aside, pack_path.rstrip("/"))
+            if os.path.isdir(new):
+                _swap(new, final)
+            else:
+                _clear(final)
+    finally:
+        shutil.rmtree(aside, ignore_errors=True)
+    return paths, cached
+
+
+def write_tars(tars: DataFrame, root: str, include: str | None = None, exclude: str | None = None, cache_root: str | None = None) -> DataFrame:
+    """Writes (pack_path, bytes) below root: one row (tars, count, cached_count, file_match)."""
+    os.makedirs(os.path.join(root, STATE_DIR), exist_ok=True)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = [write_tar(root, p, b, cache_root) for p, b in zip(frame["pack_path"], frame["bytes"])]
+            yield pd.DataFrame({
+                "tars": [len(done)], "n": [sum(len(p) for p, _ in done)], "cached": [sum(c for _, c in done)],
+                "good": [all(matches(p, include, exclude) for paths, _ in done for p in paths)]})
+
+    none = F.lit(0).cast("long")
+    row = tars.select("pack_path", "bytes").mapInPandas(write, "tars long, n long, cached long, good boolean").agg(
+        F.coalesce(F.sum("tars"), none), F.coalesce(F.sum("n"), none), F.coalesce(F.sum("cached"), none), F.coalesce(F.every("good"), F.lit(True))).first()
+    return tars.sparkSession.createDataFrame([(*row[:3], bool(row[1]) and row[3])], "tars long, count long, cached_count long, file_match boolean")
+
+
 def read_version(root: str) -> int:
     try:
         with open(os.path.join(root, STATE_DIR, "version")) as f:

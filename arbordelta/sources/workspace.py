@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,15 @@ from arbordelta.sources import tree
 SUMMARY = "path string, mode long, hash string"
 
 
+class Rebuilt(NamedTuple):
+    """file_match: something was written, and all of it matches."""
+
+    version: int
+    count: int
+    cached_count: int
+    file_match: bool
+
+
 class Workspace:
     def __init__(self, trees: FileTrees, project: int, root: str):
         self.trees, self.project, self.root = trees, project, root
@@ -40,24 +50,24 @@ class Workspace:
     def _known(self) -> DataFrame:
         return self.spark.read.schema(SUMMARY).parquet(f"file://{self._summary}") if os.path.isdir(self._summary) else self.spark.createDataFrame([], SUMMARY)
 
-    def rebuild(self, to: int | None = None, query: ObjectQuery = EVERYTHING, include: str | None = None, exclude: str | None = None) -> tuple[int, int, bool]:
-        """(version, objects written, whether all of them match) after bringing the tree to a version."""
+    def rebuild(self, to: int | None = None, query: ObjectQuery = EVERYTHING, include: str | None = None, exclude: str | None = None, cache_root: str | None = None) -> Rebuilt:
+        """Brings the tree to a version, by the TARs that lead there; packs of the caches below `cache_root` aren't sent."""
         start = tree.read_version(self.root)
         state = self.trees.store.state()
         from arbordelta.operators.reads import latest_version
 
         to = latest_version(state.projects, self.project) if to is None else to
         if to == start:
-            return to, 0, False
+            return Rebuilt(to, 0, 0, False)
         if to < start:
             raise ValueError(f"the tree is at version {start}, later than {to}")
-        os.makedirs(self.root, exist_ok=True)
-        changes = self.trees.get(self.project, (query,), start, to)
-        done = tree.materialize(changes, self.root, include, exclude).first()
-        if done["count"]:
+        cached = tree.read_cache_versions(cache_root) if cache_root else []
+        _, tars = self.trees.get_compress(self.project, query, start, to, cached)
+        done = tree.write_tars(tars, self.root, include, exclude, cache_root).first()
+        if done["tars"]:
             tree.write_version(self.root, to)
             self._summarize()
-        return to, done["count"], done["file_match"]
+        return Rebuilt(to, done["count"], done["cached_count"], done["file_match"])
 
     def changes(self, subpaths: Sequence[str] = ()) -> DataFrame:
         """The tree's changes since it was last in step: rows of an update."""

@@ -83,7 +83,7 @@ def test_workspaces_follow_each_other(trees, tmp_path):
     for path, text in (("x", b"1"), ("d/y", b"1"), ("d/z", b"1")):
         tree.write_object(a.root, path, 420, False, text)
     assert a.update() == 1 and a.update() is None
-    assert b.rebuild(include="*") == (1, 3, True)
+    assert b.rebuild(include="*") == (1, 3, 0, True)
     tree.write_object(b.root, "d/y", 420, True, None)
     tree.write_object(b.root, "x", 420, False, b"22")
     tree.write_object(b.root, "n/new", 420, False, b"3")
@@ -94,3 +94,85 @@ def test_workspaces_follow_each_other(trees, tmp_path):
     assert sorted(tree.list_dir(a.root)) == ["d/z", "other", "x"]
     assert b.rebuild()[:2] == (3, 1)
     assert sorted(tree.list_dir(b.root)) == ["d/z", "n/new", "other", "x"]
+
+
+def on_disk(root):
+    out = {}
+    for p in tree.list_dir(root):
+        if not p.endswith("/"):
+            full = os.path.join(root, p)
+            out[p] = os.readlink(full).encode() if os.path.islink(full) else open(full, "rb").read()
+    return out
+
+
+def sync(trees, project, ws):
+    ws.rebuild()
+    assert on_disk(ws.root) == content(trees, project)
+    assert ws.changes().where("not path like '%/'").count() == 0
+
+
+def test_a_tree_follows_its_packs(trees, tmp_path):
+    trees.new_project(1, ["^pack/", "^mods/[^/]+/"])
+    ws = Workspace(trees, 1, str(tmp_path / "w"))
+    for step in (
+        [("pack/a", b"A"), ("pack/b", b"B"), ("z", b"Z"), ("mods/x/1", b"1"), ("mods/y/1", b"1")],
+        [("pack/a", None)],
+        [("pack/c/d", b"D"), ("mods/x/2", b"2"), ("mods/x/1", None)],
+        [("pack/b", None), ("pack/c/d", None), ("mods/y/1", None)],
+        [("pack/again", b"!"), ("z", None)],
+    ):
+        send(trees, 1, *step)
+        sync(trees, 1, ws)
+    assert not os.path.exists(tmp_path / "w/mods/y")
+    os.makedirs(tmp_path / "v")
+    late = Workspace(trees, 1, str(tmp_path / "v"))
+    tree.write_object(late.root, "pack/stale", 420, False, b"not of the project")
+    sync(trees, 1, late)
+
+
+def test_a_pack_becomes_a_symlink(trees, tmp_path):
+    trees.new_project(1, ["^mods/[^/]+/"])
+    ws = Workspace(trees, 1, str(tmp_path / "w"))
+    send(trees, 1, ("mods/x/1", b"1"), ("other/f", b"2"))
+    sync(trees, 1, ws)
+    link = [(1, 0, "mods/x/1", 0, 0, True, None), (1, 1, "mods/y/1", 420, 1, False, b"y")]
+    trees.update(trees.store.spark.createDataFrame(link, UPDATES))
+    trees.update(trees.store.spark.createDataFrame([(1, 0, "mods", 1 << 27 | 511, 5, False, b"other")], UPDATES))
+    ws.rebuild()
+    assert os.path.exists(tmp_path / "w/other/f")
+
+
+def test_random_packs_on_disk(trees, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    trees.new_project(1, ["^p[01]/"])
+    ws, live = Workspace(trees, 1, str(tmp_path / "w")), set()
+    for step in range(4):
+        rows = {}
+        for _ in range(rng.randint(1, 6)):
+            path = f"{rng.choice(['p0', 'p1', 'q'])}/{rng.choice('abc')}"
+            rows[path] = None if path in live and rng.random() < 0.6 else f"{step}{path}".encode()
+        live = (live | {p for p, c in rows.items() if c}) - {p for p, c in rows.items() if not c}
+        send(trees, 1, *rows.items())
+        if rng.random() < 0.7:
+            sync(trees, 1, ws)
+    sync(trees, 1, ws)
+    assert set(on_disk(ws.root)) == live
+
+
+def test_rebuild_with_a_cache(trees, tmp_path):
+    trees.new_project(1, ["^pack/[^/]+/"])
+    send(trees, 1, ("pack/a/1", b"a1"), ("pack/a/2", b"a2"), ("pack/b/1", b"b1"), ("f", b"F"))
+    trees.create_cache("pack/", 100)
+    cache = str(tmp_path / "cache")
+    assert tree.download_cache(trees.get_cache(), cache) == 1
+    ws = Workspace(trees, 1, str(tmp_path / "w"))
+    assert ws.rebuild(cache_root=cache) == (1, 3, 2, True)
+    assert on_disk(ws.root) == content(trees, 1)
+    send(trees, 1, ("pack/a/1", None), ("pack/b/1", None))
+    done = ws.rebuild(cache_root=cache)
+    assert done.version == 2 and done.cached_count == 0 and on_disk(ws.root) == content(trees, 1)
+    fresh = Workspace(trees, 1, str(tmp_path / "x"))
+    assert fresh.rebuild(to=1, cache_root=cache, include="*")[1:] == (3, 2, True)
+    assert on_disk(fresh.root) == content(trees, 1, to=1)
