@@ -41,6 +41,17 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def put_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file to a folder of its own in the shared folder; its path."""
+    path = f"{scratch_folder(spark, 'file')}/{name}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    for at in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[at:at + (1 << 20)]))
+    out.close()
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read from a Parquet table.
 
