@@ -3,13 +3,18 @@
 Both sides are reduced to ASCII letters and digits in lower case.  Each task
 builds an FM-index of its documents, shard by shard, and searches it backwards
 for the items' phrases: blocks of half the shortest match, side by side, one of
-which lies in any match.  Occurrences are located by sampled suffix positions
-and extended to both sides; those that reach the shortest match are cases.  The
-extended stretches of one document are merged into spans to remove.
-
-The items are the query set.  They are read in blocks of at most `block_bytes`,
-each searched for in all documents, so what a task holds doesn't grow with
-them.  Documents aren't shuffled, only cases are.
+which lies in any match.  Occurrences are located by sampled suffix positions.
+Each lies in a few stretches of the shortest match; those are looked up among
+the items' own, by hash, and compared symbol by symbol.  As each position of a
+shard begins one stretch, what is looked up never exceeds the shard, however
+often a phrase occurs on either side.  Neighbouring stretches of one document
+are merged into spans to remove.
+
+The items are the query set.  They are cut into blocks of at most `block_bytes`,
+in overlapping sections where an item is longer, and each block is a file that
+executors fetch; a task builds a shard's index once and then reads one block
+after the other, so what it holds doesn't grow with the items.  Documents aren't
+shuffled, only cases are.
 
 Defined results.  Null, empty and short texts, reduced to fewer characters than
 the shortest match, have no cases.  Repeated items count each.  A long text is
@@ -19,23 +24,28 @@ give its cases once.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbordelta.llm.fm_index import MAX_SYMBOLS, FMIndex
+from arbordelta.sources.scratch import put_file
 from arbordelta.sources.spread import spread
 
 MIN_CHARS = 60
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 SHARD_SYMBOLS = 1 << 20
-#: Occurrences extended at once.
+#: Occurrences or cases, and stretches, worked on at once.
 AT_ONCE = 1 << 16
+STRETCHES = 1 << 14
 
 _CODES = np.zeros(256, np.uint8)
 for _k, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
@@ -49,75 +59,92 @@ def reduced(text: str | None) -> np.ndarray:
 
 @dataclass
 class Phrases:
-    """Distinct items and the places of their phrases."""
+    """A block of items: their phrases, and their stretches of the shortest match, distinct, in order of hash."""
 
-    ids: list[list]
-    padded: np.ndarray  # the items' symbols between stretches of 255
+    ids: list[list]  # of the items with one text
+    text: np.ndarray
     phrases: np.ndarray
-    places: np.ndarray  # positions in padded, by phrase
-    first_place: np.ndarray
-    item_at: np.ndarray  # item of each position in padded
+    hashes: np.ndarray
+    place: np.ndarray  # where in text each distinct stretch stands
+    first_item: np.ndarray
+    items: np.ndarray  # by stretch, the texts that have it
+    base: int
+
+
+def _hashes(rows: np.ndarray, base: int) -> np.ndarray:
+    powers = np.cumprod(np.full(rows.shape[1], base, np.uint64), dtype=np.uint64)
+    x = ((rows.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (rows.astype(np.uint64) << np.uint64(40))) @ powers
+    return x ^ (x >> np.uint64(29))
+
+
+def _stretches(text: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(text, n)[starts]
 
 
 def phrases_of(items: list[tuple], min_chars: int) -> Phrases | None:
+    """items: (id, codes)."""
     block = (min_chars + 1) // 2
     by_text: dict[bytes, list] = {}
-    for item, text in items:
-        codes = reduced(text)
+    for item, codes in items:
         if len(codes) >= min_chars:
             by_text.setdefault(codes.tobytes(), []).append(item)
     if not by_text:
         return None
-    gap = np.full(block, 255, np.uint8)
-    parts, owner, where, size = [gap], [np.zeros(block, np.int32)], {}, block
-    for k, text in enumerate(by_text):
-        for at in range(0, len(text) - block + 1, block):
-            where.setdefault(text[at:at + block], []).append(size + at)
-        parts += [np.frombuffer(text, np.uint8), gap]
-        owner.append(np.full(len(text) + block, k, np.int32))
-        size += len(text) + block
-    n = [len(x) for x in where.values()]
-    return Phrases(
-        list(by_text.values()), np.concatenate(parts), np.frombuffer(b"".join(where), np.uint8).reshape(-1, block),
-        np.array([p for x in where.values() for p in x], np.int64), np.concatenate([[0], np.cumsum(n)]), np.concatenate(owner))
-
-
-def _run(equal: np.ndarray) -> np.ndarray:
-    """How many columns are true from the left, by row."""
-    stop = np.argmin(equal, axis=1)
-    return np.where(equal.all(axis=1), equal.shape[1], stop)
-
-
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... counts[0] of them, then the same for the next."""
-    total = int(counts.sum())
-    return np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
-
-
-def search_shard(codes: np.ndarray, want: Phrases, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, item) of each stretch of the shard that an item shares."""
+    text = np.frombuffer(b"".join(by_text), np.uint8)
+    n = np.array([len(t) for t in by_text])
+    begin = np.cumsum(n) - n
+    phrases = np.unique(_stretches(text, _runs_of(begin, (n - block) // block + 1, block), block), axis=0)
+    starts = _runs_of(begin, n - min_chars + 1)
+    owner = np.repeat(np.arange(len(n)), n - min_chars + 1)
+    base = 0xD1342543DE82EF95
+    while True:
+        key = np.concatenate([_hashes(_stretches(text, starts[i:i + STRETCHES], min_chars), base) for i in range(0, len(starts), STRETCHES)])
+        order = np.lexsort((owner, key))
+        key, at, who = key[order], starts[order], owner[order]
+        new = np.append(True, key[1:] != key[:-1])
+        first = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if all(_same(text, at[i:i + STRETCHES], text, first[i:i + STRETCHES], min_chars).all() for i in range(0, len(at), STRETCHES)):
+            break
+        base += 2  # two stretches had one hash
+    place, group = at[new], np.cumsum(new) - 1
+    once = new | np.append(True, who[1:] != who[:-1])
+    return Phrases(list(by_text.values()), text, phrases, key[new], place, np.append(np.flatnonzero(new[once]), once.sum()), who[once].astype(np.int32), base)
+
+
+def _runs_of(starts: np.ndarray, counts: np.ndarray, step: int = 1) -> np.ndarray:
+    """starts[0], starts[0] + step, ... counts[0] of them, then the same for the next."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts, counts) + step * (np.arange(int(counts.sum())) - np.repeat(before, counts))
+
+
+def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, n: int) -> np.ndarray:
+    return (_stretches(a, at, n) == _stretches(b, bt, n)).all(axis=1)
+
+
+def search_shard(index: FMIndex, codes: np.ndarray, want: Phrases, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stretch) of each position of the shard at which one of the items' stretches begins, ascending."""
     block = want.phrases.shape[1]
-    index = FMIndex(codes)
-    which, low, high = index.search(want.phrases)
-    found = [np.zeros((3, 0), np.int64)]
-    text = np.concatenate([np.zeros(block, np.uint8), codes, np.zeros(block, np.uint8)])
-    span = np.arange(block)
+    _, low, high = index.search(want.phrases)
     n_rows = high - low
     ends = np.cumsum(n_rows)
+    # Begins of stretches in which a phrase occurs: changes of how many occurrences reach there.
+    near = np.zeros(len(codes) + 1, np.int32)
     for a in range(0, int(n_rows.sum()), AT_ONCE):
         b = min(a + AT_ONCE, int(ends[-1]))
         k = np.searchsorted(ends, np.arange(a, b), "right")
         at = index.locate(low[k] + np.arange(a, b) - (ends[k] - n_rows[k]))
-        phrase = which[k]
-        n_places = want.first_place[phrase + 1] - want.first_place[phrase]
-        # An occurrence with many places is extended against them in rounds of one place each: memory stays bounded.
-        for r in range(int(n_places.max(initial=0))):
-            has = n_places > r
-            p, q = at[has], want.places[want.first_place[phrase[has]] + r]
-            left = _run(text[(p + block - 1)[:, None] - span] == want.padded[(q - 1)[:, None] - span])
-            right = _run(text[(p + 2 * block)[:, None] + span] == want.padded[(q + block)[:, None] + span])
-            good = left + block + right >= min_chars
-            found.append(np.stack([(p - left)[good], (p + block + right)[good], want.item_at[q[good]].astype(np.int64)]))
+        np.add.at(near, np.maximum(at + block - min_chars, 0), 1)
+        np.add.at(near, at + 1, -1)
+    starts = np.flatnonzero(np.cumsum(near)[: max(0, len(codes) - min_chars + 1)] > 0)
+    found = [np.zeros((2, 0), np.int64)]
+    for a in range(0, len(starts), STRETCHES):
+        at = starts[a:a + STRETCHES]
+        key = _hashes(_stretches(codes, at, min_chars), want.base)
+        k = np.minimum(np.searchsorted(want.hashes, key), len(want.hashes) - 1)
+        hit = want.hashes[k] == key
+        at, k = at[hit], k[hit]
+        same = _same(codes, at, want.text, want.place[k], min_chars)
+        found.append(np.stack([at[same], k[same]]))
     return tuple(np.concatenate(found, axis=1))
 
 
@@ -155,70 +182,89 @@ def _original(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     return char[kept[starts]], char[kept[ends - 1]] + 1
 
 
-def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    total = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = -(-total // block_bytes)
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    if blocks <= 1:
-        return [[tuple(r) for r in items.collect()]]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [[tuple(r) for r in items.where(part == b).collect()] for b in range(blocks)]
+def _item_blocks(benchmark: DataFrame, min_chars: int, block_bytes: int) -> Iterator[Phrases]:
+    """Blocks of sections of items; one is held at a time."""
+    held, size = [], 0
+    room = max(block_bytes, 2 * min_chars)
+    for item, text in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
+        codes = reduced(text)
+        for at in range(0, max(1, len(codes) - min_chars + 1), room - min_chars + 1):
+            section = codes[at:at + room]
+            if held and size + len(section) > room:
+                yield phrases_of(held, min_chars)
+                held, size = [], 0
+            held.append((item, section))
+            size += len(section)
+    yield phrases_of(held, min_chars)
+
+
+@lru_cache(maxsize=1)
+def _block(name: str) -> Phrases:
+    with open(SparkFiles.get(name), "rb") as f:
+        return pickle.load(f)
 
 
 def _search(documents: DataFrame, benchmark: DataFrame, emit, schema: str, min_chars: int, block_bytes: int, shard_symbols: int) -> DataFrame:
-    docs = spread(documents.select("doc_id", "text"))
     limit = min(shard_symbols, MAX_SYMBOLS)
     if limit <= 2 * min_chars:
         raise ValueError("a shard must hold more than two matches")
-    found = []
-    for items in _item_blocks(benchmark, block_bytes):
-        want = phrases_of(items, min_chars)
-        if want is None:
-            continue
-        shared = documents.sparkSession.sparkContext.broadcast(want)  # at most block_bytes of items
-
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for codes, starts, texts in _shards(batches, min_chars, limit):
-                s, e, item = search_shard(codes, shared.value, min_chars)
-                yield from emit(shared.value, starts, texts, np.searchsorted(starts, s, "right") - 1, s, e, item)
-
-        found.append(docs.mapInArrow(task, schema))
-    if not found:
-        return documents.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, found)
+    spark = documents.sparkSession
+    names = []
+    for want in _item_blocks(benchmark, min_chars, block_bytes):
+        if want is not None:
+            names.append(f"items-{uuid.uuid4().hex}")
+            spark.sparkContext.addFile(put_file(spark, names[-1], pickle.dumps(want)))
+    if not names:
+        return spark.createDataFrame([], schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, starts, texts in _shards(batches, min_chars, limit):
+            index = FMIndex(codes)
+            for name in names:
+                want = _block(name)
+                at, stretch = search_shard(index, codes, want, min_chars)
+                if len(at):
+                    yield from emit(want, starts, texts, np.searchsorted(starts, at, "right") - 1, at, stretch)
+
+    return spread(documents.select("doc_id", "text")).mapInArrow(task, schema)
 
 
 def leaked_items(documents: DataFrame, benchmark: DataFrame, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """(doc_id, item_id), distinct."""
-    doc_type, item_type = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-
-    def emit(want, starts, texts, section, s, e, item):
-        pairs = np.unique(np.stack([section, item]), axis=1)
-        rows = {(texts[d][0], i) for d, k in pairs.T.tolist() for i in want.ids[k]}
-        if rows:
-            yield pa.RecordBatch.from_pylist([{"doc_id": d, "item_id": i} for d, i in rows])
+    fields = documents.select("doc_id").schema.fields + benchmark.select("item_id").schema.fields
+    doc_type, item_type = (f.dataType.simpleString() for f in fields)
+
+    def emit(want, starts, texts, section, at, stretch):
+        pairs = np.unique(np.stack([section, stretch]), axis=1)
+        n = want.first_item[pairs[1] + 1] - want.first_item[pairs[1]]
+        seen = np.zeros(0, np.int64)
+        bounds = np.searchsorted(np.cumsum(n), np.arange(AT_ONCE, int(n.sum()) + AT_ONCE, AT_ONCE))
+        for a, b in zip([0, *(bounds + 1).tolist()], [*(bounds + 1).tolist(), len(n)]):
+            who = want.items[_runs_of(want.first_item[pairs[1, a:b]], n[a:b])].astype(np.int64)
+            new = np.setdiff1d(np.repeat(pairs[0, a:b], n[a:b]) * len(want.ids) + who, seen)
+            seen = np.union1d(seen, new)
+            rows = [(texts[d][0], i) for d, k in zip((new // len(want.ids)).tolist(), (new % len(want.ids)).tolist()) for i in want.ids[k]]
+            for c in range(0, len(rows), AT_ONCE):
+                docs, items = zip(*rows[c:c + AT_ONCE])
+                yield pa.RecordBatch.from_pydict({"doc_id": docs, "item_id": items})
 
     return _search(documents, benchmark, emit, f"doc_id {doc_type}, item_id {item_type}", min_chars, block_bytes, shard_symbols).distinct()
 
 
 def removal_spans(documents: DataFrame, benchmark: DataFrame, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """(doc_id, from_char, to_char): merged stretches of a document that items share, in its characters."""
-    doc_type = dict(documents.dtypes)["doc_id"]
+    doc_type = documents.select("doc_id").schema["doc_id"].dataType.simpleString()
 
-    def emit(want, starts, texts, section, s, e, item):
-        for d in np.unique(section).tolist():
-            mine = section == d
+    def emit(want, starts, texts, section, at, stretch):
+        for d, first, n in zip(*np.unique(section, return_index=True, return_counts=True)):
             doc, text, before = texts[d]
-            a, b = _original(text.as_py(), s[mine] - starts[d] + before, e[mine] - starts[d] + before)
-            order = np.argsort(a)
-            a, b = a[order], np.maximum.accumulate(b[order])
-            head = np.concatenate([[True], a[1:] > b[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * int(head.sum())), pa.array(a[head].astype(np.int64)), pa.array(b[np.append(head[1:], True)].astype(np.int64))], ["doc_id", "from_char", "to_char"])
+            mine = at[first:first + n]  # ascending, and so are the sections
+            head = np.append(True, mine[1:] > mine[:-1] + min_chars)
+            a, b = _original(text.as_py(), mine[head] - starts[d] + before, mine[np.append(head[1:], True)] + min_chars - starts[d] + before)
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(a)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["doc_id", "from_char", "to_char"])
 
     spans = _search(documents, benchmark, emit, f"doc_id {doc_type}, from_char long, to_char long", min_chars, block_bytes, shard_symbols)
     # Spans of one document from two sections or item blocks may overlap still; there are few.
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id").orderBy("from_char", "to_char")
     reached = F.max("to_char").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.distinct().withColumn("_new", F.when(reached.isNull() | (F.col("from_char") > reached), 1).otherwise(0))

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from arbordelta.llm.contamination import leaked_items, removal_spans
+from arbordelta.llm.contamination import leaked_items, phrases_of, reduced, removal_spans, search_shard
 from arbordelta.llm.fm_index import MAX_SYMBOLS, FMIndex, suffix_order
 
 
@@ -103,3 +103,31 @@ def test_empty_tables(spark):
     assert leaked_items(documents, benchmark.limit(0)).count() == 0
     assert removal_spans(documents, benchmark.limit(0)).count() == 0
     assert leaked_items(documents, benchmark).count() == 1
+
+
+def test_runs_of_one_character_stay_bounded():
+    import tracemalloc
+
+    text, item = np.append(np.full(300_000, 1, np.uint8), np.uint8(0)), np.full(10_000, 1, np.uint8)
+    tracemalloc.start()
+    want = phrases_of([(1, item), (2, np.append(item, np.uint8(2)))], 60)
+    at, stretch = search_shard(FMIndex(text), text, want, 60)
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert len(at) == 300_000 - 59 and len(set(stretch.tolist())) == 1
+    assert want.items[want.first_item[stretch[0]]:want.first_item[stretch[0] + 1]].tolist() == [0, 1]
+
+
+def test_many_blocks_and_long_items(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, word(rng.choice([10, 70, 2000]))) for i in range(60)]
+    docs = [(d, word(50) + items[d % 60][1][-65 - d:][:65 + d] + word(50)) for d in range(120)]
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in leaked_items(documents, benchmark, block_bytes=300).collect()} == brute(docs, items, 60)
+
+
+def test_hash_of_a_stretch_is_checked():
+    items = [(i, reduced("".join(random.Random(i).choice("ab") for _ in range(61)))) for i in range(50)]
+    want = phrases_of(items, 60)
+    assert len(want.hashes) == len({t[a:a + 60].tobytes() for _, t in items for a in (0, 1)}) and (np.diff(want.hashes.astype(object)) > 0).all()
