@@ -9,12 +9,12 @@ In a shard the large lengths are sorted into groups of equal number, each
 rounded up to its longest member.  For these few sizes the best mix of container
 configurations is found by column generation (a linear program over
 configurations, priced by an unbounded knapsack).  Whole multiples of the
-configurations are opened, the actual items, never longer than their rounded
-size, are substituted, and what remains, the small items last, goes to the
-fullest container that takes it.  Rounding leaves room that no small item may
-be there to fill; so an opened container stands only if its actual items fill it
-to a certain share, and of a few such shares, from none to more than all, the
-one that needs the fewest containers is taken.
+configurations are opened and the actual items substituted: for each size but
+the least of a configuration the longest item not above it, and for the least,
+as the others left room, the longest item that still fits.  So a container is
+closed by an actual item and not by a rounded one, and all that are opened
+stand.  What remains, the small items last, goes to the fullest container that
+takes it.
 
 Defined results.  Null or negative lengths are 0.  Items of length 0 are in one
 container, too.  Rows with an equal key are one item, of the greatest length.  A
@@ -23,18 +23,18 @@ null key is a key.  Empty tables give no placements.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbordelta.sources.scratch import written
+
 #: Lengths above capacity / SMALL are large.
 SMALL = 16
 GROUPS = 64
-#: Shares to which an opened container must be filled to stand.
-FILLS = (0.0, 0.97, 0.985, 0.995, 0.999, 1.01)
 #: The knapsack counts capacity in at most so many units.
 UNITS = 16_384
 SHARD_ITEMS = 20_000
@@ -115,41 +115,40 @@ def _best_fit(lengths: np.ndarray, which: np.ndarray, container: np.ndarray, roo
         insort(free, (left - need, c))
 
 
-def _opened(lengths: np.ndarray, capacity: int, groups: int, small: int) -> list[np.ndarray]:
+def open_containers(lengths: np.ndarray, capacity: int, groups: int = GROUPS, small: int = SMALL) -> list[np.ndarray]:
     """The actual large items of each container that the configurations open."""
     large = np.flatnonzero(lengths * small > capacity)
     large = large[np.argsort(-lengths[large], kind="stable")]
     if not len(large):
         return []
     per = -(-len(large) // groups)
-    members = [large[i:i + per] for i in range(0, len(large), per)]
-    sizes = np.array([lengths[m[0]] for m in members])
+    counts = np.array([len(large[i:i + per]) for i in range(0, len(large), per)])
+    sizes = lengths[large[::per]]
+    free, which = lengths[large[::-1]].tolist(), large[::-1].tolist()  # ascending
     out = []
-    for col, times in configurations(sizes, np.array([len(m) for m in members]), capacity):
+    for col, times in configurations(sizes, counts, capacity):
+        slots = np.repeat(sizes, col).tolist()  # descending
         for _ in range(times):
-            taken = []
-            for k in np.flatnonzero(col):
-                taken.append(members[k][:col[k]])
-                members[k] = members[k][col[k]:]
-            out.append(np.concatenate(taken))
+            room, taken = capacity, []
+            for slot in [*slots[:-1], capacity]:
+                at = bisect_right(free, min(slot, room)) - 1
+                if at >= 0:
+                    room -= free.pop(at)
+                    taken.append(which.pop(at))
+            if taken:
+                out.append(np.array(taken))
     return out
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
     """The container's number of each length; all lengths are at most the capacity."""
     lengths = np.asarray(lengths, np.int64)
-    opened = _opened(lengths, capacity, groups, small)
-    fill = np.array([int(lengths[items].sum()) for items in opened], np.int64)
-    best, fewest = None, None
-    for least in FILLS:
-        container, room = np.full(len(lengths), -1, np.int64), []
-        for k in np.flatnonzero(fill >= least * capacity).tolist():
-            container[opened[k]] = len(room)
-            room.append(capacity - int(fill[k]))
-        _best_fit(lengths, np.flatnonzero(container < 0), container, room, capacity)
-        if best is None or len(room) < fewest:
-            best, fewest = container, len(room)
-    return best
+    container, room = np.full(len(lengths), -1, np.int64), []
+    for items in open_containers(lengths, capacity, groups, small):
+        container[items] = len(room)
+        room.append(capacity - int(lengths[items].sum()))
+    _best_fit(lengths, np.flatnonzero(container < 0), container, room, capacity)
+    return container
 
 
 def pack_items(items: DataFrame, keys: list[str], length: Column, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -158,8 +157,9 @@ def pack_items(items: DataFrame, keys: list[str], length: Column, capacity: int,
     `container` is a string that is unique over all shards.
     """
     sizes = items.groupBy(*keys).agg(F.max(F.greatest(F.coalesce(length, F.lit(0)), F.lit(0))).cast("long").alias("_n"))
-    # The one number that the driver needs: how many rows there are.  It is no less than the number of items.
-    shards = max(1, -(-items.count() // shard_items))
+    # Written once: how many items there are, which the driver needs, is in the table's footers.
+    sizes = written(sizes, "sizes")
+    shards = max(1, -(-sizes.count() // shard_items))
     whole = F.expr(f"greatest(0, (_n - 1) div {capacity})")
     spread = sizes.withColumn("_full", whole).withColumn("_rest", F.col("_n") - F.col("_full") * capacity)
     key = [F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]
