@@ -53,7 +53,11 @@ def p9_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.clusters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tar_placements, p2_object_placements, p7_ids, p8_found, p8_spans, p9_found, p9_shared, p9_clusters)}
+def p9_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.cluster_removals(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_tar_placements, p2_object_placements, p7_ids, p8_found, p8_spans, p9_found, p9_shared, p9_clusters, p9_removals)}
 
 _PASSAGES = """
 passages as (
@@ -62,6 +66,11 @@ passages as (
 found as (select s, min(doc_id) as low from passages group by s having min(doc_id) < max(doc_id)),
 hits as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from passages p join found f on f.s = p.s)
 """
+_REACH = f"""
+with recursive {_PASSAGES.strip()},
+links as (select distinct p.doc_id as a, f.low as b from passages p join found f on f.s = p.s),
+both_ as (select a, b from links union select b, a from links),
+reach(a, b) as (select a, b from both_ union select r.a, x.b from reach r join both_ x on x.a = r.b)"""
 _SHARED = f"with {_PASSAGES.strip()}\n"
 
 ORACLE = {
@@ -76,10 +85,10 @@ select distinct dp.id as doc_id, bp.id as item_id from dp join bp on dp.s = bp.s
     "p9_shared": _SHARED + """
 select doc_id, cast(sum(least(300, i - coalesce(before, i - 300))) as bigint) as shared_chars,
   cast(count(*) filter (where before is null or i - before > 300) as bigint) as spans from hits group by doc_id""",
-    "p9_clusters": f"""
-with recursive {_PASSAGES.strip()},
-links as (select distinct p.doc_id as a, f.low as b from passages p join found f on f.s = p.s),
-both_ as (select a, b from links union select b, a from links),
-reach(a, b) as (select a, b from both_ union select r.a, x.b from reach r join both_ x on x.a = r.b)
-select a as doc_id, min(b) as cluster from reach group by a""",
+    "p9_clusters": _REACH + "\nselect a as doc_id, min(b) as cluster from reach group by a",
+    "p9_removals": _REACH + """,
+later as (select p.doc_id, i, lag(i) over (partition by p.doc_id order by i) as prev from passages p join found f on f.s = p.s where p.doc_id > f.low),
+runs as (select doc_id, i, sum(case when prev is null or i - prev > 300 then 1 else 0 end) over (partition by doc_id order by i) as run from later),
+spans as (select doc_id, run, min(i) - 1 as from_char, max(i) + 299 as to_char from runs group by doc_id, run)
+select s.doc_id, c.cluster, s.from_char, s.to_char from spans s join (select a as doc_id, min(b) as cluster from reach group by a) c on c.doc_id = s.doc_id""",
 }

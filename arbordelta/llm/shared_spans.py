@@ -8,16 +8,21 @@ such passages is a paragraph, cut by content and not by line ends.  Paragraphs
 are what is shuffled, about 2 / (span - gram) of them per character.
 
 1. Paragraphs collide if their MinHash is also found in another document.
-2. Equal colliding paragraphs (a second, independent hash over the whole) are
+2. Equal colliding paragraphs (a cryptographic hash of the whole text) are
    shared as they stand; their classes are folded by partial aggregation, so a
    licence in a third of all documents is one row per task.
 3. One representative of each class of a MinHash with several classes is cut
    out of its text.  All passages of the representatives of one MinHash are
-   compared exactly, by hash of the whole passage within equal MinHash.  A MinHash with
-   more classes than `block` is split over tasks, whose passages then meet by
-   key.
+   put together by hash, and then compared character by character: the edit
+   distance of what is linked is 0.  A MinHash with more classes than `block` is
+   split over tasks, whose passages then meet by a cryptographic hash.
 4. Shared stretches are merged per document; documents that share are
-   clustered by components.
+   clustered by components.  Of each passage the copy in the least document
+   stays, the others are removals, reported with their document's cluster.
+
+Banding: equal passages agree in every hash function, so any number of bands and
+rows has recall 1 for what is asked for here; one band of one row is the least
+that does.
 
 Defined results.  Null, empty and short texts have no case.  A stretch repeated
 only within one doc_id is none.  Characters are code points, unchanged.  Long
@@ -28,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -108,8 +114,13 @@ def paragraphs_of(codes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray,
     nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
     first = np.repeat(first, times) + nth * most
     after = np.append(first[1:], len(least))
-    whole = Rolling(codes, _BASE2).of(first, after - 1 + span)
-    return least[first].view(np.int64), whole.view(np.int64), first, after - first
+    return least[first].view(np.int64), _text_hashes(codes, first, after - 1 + span), first, after - first
+
+
+def _text_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    data = memoryview(codes.tobytes())
+    out = b"".join(blake2b(data[4 * a:4 * b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+    return np.frombuffer(out, np.int64)
 
 
 def paragraphs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, section: int = SECTION) -> DataFrame:
@@ -147,20 +158,48 @@ def _ranges(hit: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-def _passages(batch: pa.RecordBatch | pa.Table, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, hash) of all passages of representatives."""
+def _passages(batch: pa.RecordBatch | pa.Table, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, row, offset, start) of all passages of representatives."""
     texts = [_codes(t) for t in batch["text"].to_pylist()]
     n = np.array([len(t) - span + 1 for t in texts], np.int64)
     base = np.concatenate([[0], np.cumsum(n + span - 1)[:-1]])
     row = np.repeat(np.arange(len(texts)), n)
     offset = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    start = base[row] + offset
-    return row, offset, Rolling(np.concatenate(texts), _BASE2).of(start, start + span)
+    return np.concatenate(texts), row, offset, base[row] + offset
+
+
+def told_apart(codes: np.ndarray, start: np.ndarray, key: np.ndarray, span: int) -> np.ndarray:
+    """key of ascending starts, changed where passages have one key and different texts.
+
+    Each passage is compared with the first of its key; where both go on from
+    passages that were compared, by the character that is new.
+    """
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    ref = start[first[group]]
+    goes_on = np.append(False, (start[1:] == start[:-1] + 1) & (ref[1:] == ref[:-1] + 1))
+    equal = codes[start + span - 1] == codes[ref + span - 1]
+    rows = np.lib.stride_tricks.sliding_window_view(codes, span)
+    heads = np.flatnonzero(~goes_on)
+    for a in range(0, len(heads), 1 << 12):
+        h = heads[a:a + (1 << 12)]
+        equal[h] = (rows[start[h]] == rows[ref[h]]).all(axis=1)
+    if equal.all():
+        return key
+    key, names = key.copy(), {}
+    taken = set(key.tolist())
+    for i in np.flatnonzero(np.isin(group, group[~equal])).tolist():
+        text = rows[start[i]].tobytes()
+        if text not in names:
+            names[text] = next(k for k in range(len(names), 1 << 62) if k not in taken)
+            taken.add(names[text])
+        key[i] = names[text]
+    return key
 
 
 def _compare(group: pa.Table, span: int) -> pa.RecordBatch:
     """Shared passages of representatives of whole MinHash groups: (minhash, whole, from_passage, to_passage, own_doc, with_doc)."""
-    row, offset, key = _passages(group, span)
+    codes, row, offset, start = _passages(group, span)
+    key = told_apart(codes, start, Rolling(codes, _BASE2).of(start, start + span), span)
     minhash, whole = np.asarray(group["minhash"])[row], np.asarray(group["whole"])[row]
     low, high = np.asarray(group["low_doc"])[row], np.asarray(group["high_doc"])[row]
     order = np.lexsort((key, minhash))
@@ -182,10 +221,12 @@ class Shared(NamedTuple):
     """stretches: (doc_id, from_char, to_char), not merged; links: (own_doc, with_doc) of documents that share a passage.
 
     Links connect all documents that share a passage, each to the least or greatest of them.
+    removals: (doc_id, from_char, to_char), not merged, of what also stands in a lesser document.
     """
 
     stretches: DataFrame
     links: DataFrame
+    removals: DataFrame
 
 
 def find_shared(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK, section: int = SECTION) -> Shared:
@@ -210,7 +251,7 @@ def find_shared(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block:
                     part = text[w["first"]:w["first"] + w["passages"] - 1 + span]
                     codes = _codes(part)
                     # Rows that repeat a doc_id with another text don't have this paragraph there.
-                    if len(part) == w["passages"] - 1 + span and int(Rolling(codes, _BASE2).of(np.array([0]), np.array([len(codes)])).view(np.int64)[0]) == w["whole"]:
+                    if len(part) == w["passages"] - 1 + span and int(_text_hashes(codes, np.array([0]), np.array([len(codes)]))[0]) == w["whole"]:
                         rows[tuple(w[f] for f in fields)] = part
             if rows:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows)), pa.array(list(rows.values()), pa.string())], [*fields, "text"])
@@ -241,9 +282,10 @@ def find_shared(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, offset, key = _passages(part, span)
+                codes, row, offset, start = _passages(part, span)
+                key = _text_hashes(codes, start, start + span)
                 names = ["minhash", "whole", "low_doc", "high_doc"]
-                yield pa.RecordBatch.from_arrays([*(part[n].take(pa.array(row)) for n in names), pa.array(offset), pa.array(key.view(np.int64))], [*names, "from_passage", "passage"])
+                yield pa.RecordBatch.from_arrays([*(part[n].take(pa.array(row)) for n in names), pa.array(offset), pa.array(key)], [*names, "from_passage", "passage"])
 
     # The representatives of one of the many MinHashes with more classes than a task should hold.
     split = reps.where(F.col("classes") > block).mapInArrow(emit, "minhash long, whole long, low_doc long, high_doc long, from_passage long, passage long")
@@ -259,7 +301,11 @@ def find_shared(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block:
     alone = collisions.join(single, ["minhash", "whole"]).select(
         "doc_id", (F.col("first") + F.col("from_passage")).alias("from_char"), (F.col("first") + F.col("to_passage") - 1 + span).alias("to_char"))
     links = same_class.select(F.col("doc_id").alias("own_doc"), F.col("low_doc").alias("with_doc")).unionByName(parts.select("own_doc", "with_doc"))
-    return Shared(equal.unionByName(alone), links)
+    again = same_class.where(F.col("doc_id") > F.col("low_doc")).select("doc_id", F.col("first").alias("from_char"), (F.col("first") + F.col("passages") - 1 + span).alias("to_char"))
+    lesser = parts.where(F.col("with_doc") < F.col("own_doc"))
+    others = collisions.join(lesser, ["minhash", "whole"]).where(F.col("doc_id") == F.col("own_doc")).select(
+        "doc_id", (F.col("first") + F.col("from_passage")).alias("from_char"), (F.col("first") + F.col("to_passage") - 1 + span).alias("to_char"))
+    return Shared(equal.unionByName(alone), links, again.unionByName(others))
 
 
 def shared_stretches(documents: DataFrame, *args, **settings) -> DataFrame:
@@ -269,8 +315,21 @@ def shared_stretches(documents: DataFrame, *args, **settings) -> DataFrame:
 
 def clusters(documents: DataFrame, *args, **settings) -> DataFrame:
     """(doc_id, cluster): documents that share a passage, directly or through others; cluster is the least doc_id."""
-    found = components(find_shared(documents, *args, **settings).links, "own_doc", "with_doc")
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    return _clusters(find_shared(documents, *args, **settings).links)
+
+
+def _clusters(links: DataFrame) -> DataFrame:
+    return components(links, "own_doc", "with_doc").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+
+def cluster_removals(documents: DataFrame, *args, **settings) -> DataFrame:
+    """(doc_id, cluster, from_char, to_char): merged stretches to remove, so that of each passage the copy in the least document of its cluster stays."""
+    shared = find_shared(documents, *args, **settings)
+    order = Window.partitionBy("doc_id").orderBy("from_char", "to_char")
+    reached = F.max("to_char").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = shared.removals.distinct().withColumn("_new", F.when(F.col("from_char") <= reached, 0).otherwise(1))
+    spans = marked.withColumn("_run", F.sum("_new").over(order)).groupBy("doc_id", "_run").agg(F.min("from_char").alias("from_char"), F.max("to_char").alias("to_char"))
+    return spans.join(_clusters(shared.links), "doc_id").select("doc_id", "cluster", "from_char", "to_char")
 
 
 def shared_characters(stretches: DataFrame) -> DataFrame:

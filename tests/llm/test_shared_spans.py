@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from arbordelta.llm.components import components
-from arbordelta.llm.shared_spans import Rolling, _codes, clusters, paragraphs_of, shared_characters, shared_stretches
+from arbordelta.llm.shared_spans import Rolling, _codes, cluster_removals, clusters, paragraphs_of, shared_characters, shared_stretches, told_apart
 
 
 def brute(docs, n):
@@ -99,3 +99,39 @@ def test_rolling_hashes_do_not_depend_on_place():
     codes = _codes("xxabcabcabc")
     a, b = Rolling(codes).of(np.array([2, 5, 8]), np.array([5, 8, 11])), Rolling(_codes("abc")).of(np.array([0]), np.array([3]))
     assert len(set(a.tolist() + b.tolist())) == 1
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 2}, {"section": 64}])
+def test_removals_keep_the_least_copy(spark, settings):
+    docs, span = cases(), 40
+    least = {}
+    for d, t in docs:
+        for a in range(len(t or "") - span + 1):
+            least[t[a:a + span]] = min(d, least.get(t[a:a + span], d))
+    want = {}
+    for d, t in docs:
+        if chars := {a + k for a in range(len(t or "") - span + 1) if least[t[a:a + span]] < d for k in range(span)}:
+            want[d] = chars
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got, last = {}, {}
+    for r in cluster_removals(df, span, 20, **settings).orderBy("doc_id", "from_char").collect():
+        assert r.from_char > last.get(r.doc_id, -1) and r.cluster < r.doc_id
+        last[r.doc_id] = r.to_char
+        got.setdefault(r.doc_id, set()).update(range(r.from_char, r.to_char))
+    assert got == want
+
+
+def test_equal_keys_of_different_passages_are_told_apart():
+    rng = random.Random(6)
+    for _ in range(200):
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 30))) for _ in range(4)]
+        codes = _codes("".join(texts))
+        start = np.array([a for k, t in enumerate(texts) for a in range(sum(map(len, texts[:k])), sum(map(len, texts[:k + 1])) - 4)])
+        whole = ["".join(texts)[a:a + 5] for a in start]
+        rng_mod = rng.choice([1, 2, 3, 99])
+        exact = {t: k for k, t in enumerate(sorted(set(whole)))}
+        key = told_apart(codes, start, np.array([exact[t] % rng_mod for t in whole], np.uint64), 5)
+        same = {}
+        for t, k in zip(whole, key.tolist()):
+            same.setdefault(k, set()).add(t)
+        assert all(len(v) == 1 for v in same.values())
