@@ -121,21 +121,20 @@ class Round(NamedTuple):
     dropped: DataFrame
 
 
-def plan_round(objects: DataFrame, members: DataFrame | None, number: int, policy: TierPolicy = DEFAULT_POLICY) -> Round:
-    """What round `number` merges; members: (pack_id, project, path, hash, tier) of the packs so far.
+def plan_round(files: DataFrame, members: DataFrame | None, number: int, policy: TierPolicy = DEFAULT_POLICY) -> Round:
+    """What round `number` merges; files: a table of the live files; members: (pack_id, project, path, hash, tier) of the packs so far.
 
-    Writes the live files, with where they are, and what they become to the shared folder, as both are read several times.
+    Writes where the files are, and what they become, to the shared folder, as both are read several times.
     """
-    files = live_files(objects, policy).withColumn("live", F.lit(True))
+    files = files.withColumn("live", F.lit(True))
     if members is None:
         located = files.select("project", "path", "hash", "size", "counted", "live", F.lit(None).cast("string").alias("pack_id"), F.lit(None).cast("int").alias("tier"))
     else:
         held = members.select(F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("hash").alias("_h"), "pack_id", "tier")
         same = F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")) & F.col("hash").eqNullSafe(F.col("_h"))
-        located = files.join(held, same, "full_outer").select(
+        located = written(files.join(held, same, "full_outer").select(
             F.when(F.col("live"), F.col("project")).otherwise(F.col("_p")).alias("project"), F.coalesce("path", "_f").alias("path"), F.coalesce("hash", "_h").alias("hash"),
-            F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("counted", F.lit(False)).alias("counted"), F.coalesce("live", F.lit(False)).alias("live"), "pack_id", "tier")
-    located = written(located, "located")
+            F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("counted", F.lit(False)).alias("counted"), F.coalesce("live", F.lit(False)).alias("live"), "pack_id", "tier"), "located")
     dropped = located.where(~F.col("live")).select("pack_id", "project", "path")
     tiny = F.col("counted") | (F.col("size") < policy.bounds[0])
     loose = located.where(F.col("live") & F.col("pack_id").isNull()).withColumn("dir_path", directory(F.col("path")))
@@ -233,17 +232,20 @@ class CompactionStore:
 
     def run(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> int | None:
         """One round; its number, or None if nothing was due or dropped."""
+        return self._run(written(live_files(objects, policy), "live"), contents, policy)
+
+    def _run(self, files: DataFrame, contents: DataFrame, policy: TierPolicy) -> int | None:
         number, entry = self.commits.newest() + 1, self._entry()
         members = self.packs(entry)
-        plan = plan_round(objects, members if members is None else members.drop("bytes"), number, policy)
+        plan = plan_round(files, members if members is None else members.drop("bytes"), number, policy)
         merges, dropped = not plan.merges.isEmpty(), not plan.dropped.isEmpty()
         if not merges and not dropped:
             return None
         own = self.commits.own_folder(number)
         packs = f"{self.root}/packs/round={os.path.basename(own)}"
         if merges:
-            files = plan.moves.where(F.col("path").isNotNull()).withColumn("_k", F.lower(F.trim("hash"))).join(_blobs(contents), F.col("_k") == F.col("_c"), "left")
-            rows = files.select(F.col("output").alias("pack_id"), "project", "path", "hash", "size", "bytes", F.col("new_tier").alias("tier"))
+            loose = plan.moves.where(F.col("path").isNotNull()).withColumn("_k", F.lower(F.trim("hash"))).join(_blobs(contents), F.col("_k") == F.col("_c"), "left")
+            rows = loose.select(F.col("output").alias("pack_id"), "project", "path", "hash", "size", "bytes", F.col("new_tier").alias("tier"))
             repacked = plan.moves.where(F.col("path").isNull())
             if members is not None and (tiers := [r[0] for r in repacked.select("tier").distinct().collect()]):  # at most one for each bound
                 new = repacked.select(F.col("item").alias("pack_id"), "output", "new_tier")
@@ -262,8 +264,8 @@ class CompactionStore:
 
     def compact(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> list[int]:
         """Rounds until nothing is due."""
-        done = []
-        while (number := self.run(objects, contents, policy)) is not None:
+        done, files = [], written(live_files(objects, policy), "live")
+        while (number := self._run(files, contents, policy)) is not None:
             done.append(number)
         return done
 
