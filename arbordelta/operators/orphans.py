@@ -32,31 +32,31 @@ def normal_hash(hash_: Column) -> Column:
 
 
 class Reference(NamedTuple):
-    """A column of the referring table, in normal form, and where its parents are."""
+    """A column of the referring table, in normal form, and where its parents are; table names have no colon."""
 
     table: str
     key: Column
     parents: DataFrame
     parent_key: Column
 
+    def named(self, key: Column) -> Column:
+        return F.concat(key.cast("string"), F.lit(f":{self.table}"))  # what differs comes first, for the sorts
+
 
 def broken_keys(rows: DataFrame, references: list[Reference]) -> DataFrame:
-    """(ref_table, key, came) of keys whose parent is missing, with a null came, or later than the first row that refers to it.
+    """(key, came) of keys whose parent is missing, with a null came, or later than the first row that refers to it.
 
-    One pass over `rows` gives the keys of all references; keys and parents are
-    written to the shared folder, as the anti-join and the join both read them.
+    One pass over `rows` gives the keys of all references, named `key:table`.
+    The anti-join, of keys without a parent in time, and the join, which says
+    when a late one came, read the same two exchanges, and need no others.
     """
-    def named(table: str, key: Column) -> Column:
-        return F.struct(F.lit(table).alias("ref_table"), key.cast("string").alias("key"))
-
-    refs = F.explode(F.array(*[named(r.table, r.key) for r in references])).alias("r")
-    keys = rows.select(refs, "loaded_at").where("r.key is not null").groupBy("r.ref_table", "r.key").agg(F.min("loaded_at").alias("first"))
-    parents = [r.parents.select(named(r.table, r.parent_key).alias("r"), "loaded_at") for r in references]
-    known = reduce(DataFrame.unionByName, parents).where("r.key is not null").groupBy("r.ref_table", "r.key").agg(F.min("loaded_at").alias("came"))
-    keys, known = written(keys, "keys"), written(known, "known")
-    missing = keys.join(known, ["ref_table", "key"], "left_anti").select("ref_table", "key", F.lit(None).cast(known.schema["came"].dataType).alias("came"))
-    late = keys.join(known, ["ref_table", "key"]).where(F.col("came") > F.col("first")).select("ref_table", "key", "came")
-    return written(missing.unionByName(late), "broken")
+    keys = rows.select(F.explode(F.array(*[r.named(r.key) for r in references])).alias("key"), "loaded_at").where("key is not null").groupBy("key").agg(F.min("loaded_at").alias("first"))
+    parents = [r.parents.select(r.named(r.parent_key).alias("_key"), "loaded_at") for r in references]
+    known = reduce(DataFrame.unionByName, parents).where("_key is not null").groupBy("_key").agg(F.min("loaded_at").alias("came"))
+    same, late = F.col("key") == F.col("_key"), F.coalesce(F.col("came") > F.col("first"), F.lit(False))
+    broken = keys.join(known, same & ~late, "left_anti").select("key", F.lit(None).cast(known.schema["came"].dataType).alias("came"))
+    came = keys.join(known, same & late).select("key", "came")
+    return written(broken.unionByName(came).groupBy("key").agg(F.max("came").alias("came")), "broken")
 
 
 def broken_references(rows: DataFrame, references: list[Reference]) -> DataFrame:
@@ -64,8 +64,8 @@ def broken_references(rows: DataFrame, references: list[Reference]) -> DataFrame
     broken = broken_keys(rows, references)
     joined = rows
     for i, r in enumerate(references):
-        own = broken.where(F.col("ref_table") == r.table).select(F.col("key").alias(f"_k{i}"), F.struct(F.lit(r.table).alias("ref_table"), "came").alias(f"_b{i}"))
-        joined = joined.join(own, r.key.cast("string") == F.col(f"_k{i}"), "left")
+        own = broken.where(F.col("key").endswith(f":{r.table}")).select(F.col("key").alias(f"_k{i}"), F.struct(F.lit(r.table).alias("ref_table"), "came").alias(f"_b{i}"))
+        joined = joined.join(own, r.named(r.key) == F.col(f"_k{i}"), "left")
     hit = F.explode(F.array_compact(F.array(*[F.col(f"_b{i}") for i in range(len(references))]))).alias("_b")
     came = F.col("_b.came")
     return joined.select(*rows.columns, hit).where(came.isNull() | (F.col("loaded_at") < came)).select(
