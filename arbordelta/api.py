@@ -7,6 +7,7 @@ derived again if another writer was first.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from arbordelta.operators import cache, gc, mutate, reads, tarstream
 from arbordelta.operators.mutate import State
 from arbordelta.operators.reads import ObjectQuery
+from arbordelta.sources.scratch import scratch_scope, written
 from arbordelta.sources.storage import Conflict, Store
 from arbordelta.streaming.ingest import apply_to_store
 
@@ -44,6 +46,12 @@ class FileTrees:
         self._write(lambda s: (mutate.new_project(s, project, patterns, template), None), project, template)
         return reads.latest_version(self.store.table("projects"), project)
 
+    def fold_and_vacuum(self, keep: int = 1) -> int:
+        """Folds the contents' parts, and removes all generations but the last `keep`; how many data folders went."""
+        while self.store.fold_contents() is not None:
+            pass
+        return self.store.vacuum(keep)
+
     def delete_project(self, project: int) -> None:
         self._write(lambda s: (mutate.delete_project(s, project), None), project)
 
@@ -118,20 +126,38 @@ class FileTrees:
     # --- collection
 
     def gc_project(self, project: int, keep: int, start: int = 0) -> int:
-        return self._collect(lambda s: gc.gc(s, s.projects.where(F.col("id") == project), keep, start))
+        """Reads the hashes of all objects, but rewrites only the bucket of the project, and contents only if some are lost."""
+        return self._collect(lambda s: gc.gc_rows(s.objects, s.projects.where(F.col("id") == project), keep, start), project)
 
     def gc_random_projects(self, percent: float, keep: int, start: int = 0, seed: int = 42) -> int:
-        return self._collect(lambda s: gc.gc(s, gc.sample_projects(s.projects, percent, seed), keep, start))
+        return self._collect(lambda s: gc.gc_rows(s.objects, gc.sample_projects(s.projects, percent, seed), keep, start))
 
     def gc_contents(self, percent: float, seed: int = 42) -> int:
-        return self._collect(lambda s: gc.gc_contents(s, percent, seed))
+        def step(s: State):
+            lost = written(gc.gc_contents(s, percent, seed)[1], "lost")
+            return self._without(s, lost), lost.count()
+
+        with scratch_scope():
+            return self._write(step)
 
-    def _collect(self, step: Callable[[State], tuple[State, DataFrame]]) -> int:
-        def counted(s: State):
-            after, lost = step(s)
-            return after, lost.count()
+    def _without(self, state: State, lost: DataFrame) -> State:
+        return state if lost.isEmpty() else replace(state, contents=state.contents.join(lost, "hash", "left_anti"))
 
-        return self._write(counted)
+    def _collect(self, split: Callable[[State], tuple[DataFrame, DataFrame]], *projects: int) -> int:
+        """Drops the rows that `split` tells apart, and the contents that only they held; how many contents."""
+        def step(s: State):
+            kept, dropped = split(s)
+            read = self.store.generation()
+            entry = self.store.entry(read)
+            named = {p % entry["buckets"] for p in projects}
+            rest = kept.select("hash")
+            if projects:
+                rest = rest.unionByName(self.store.table("objects", read, set(range(entry["buckets"])) - named).select("hash"))
+            lost = written(gc.orphans(dropped, rest).join(s.contents.select("hash"), "hash", "left_semi"), "lost")
+            return self._without(replace(s, objects=kept), lost), lost.count()
+
+        with scratch_scope():
+            return self._write(step, *projects)
 
     # --- states, for tests and development
 

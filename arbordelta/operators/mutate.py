@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbordelta.functions.paths import content_hash, pack_parent, retired_keys
@@ -31,6 +32,10 @@ class PatternMismatch(ValueError):
     pass
 
 
+class BadPattern(ValueError):
+    pass
+
+
 @dataclass(frozen=True)
 class State:
     projects: DataFrame
@@ -59,11 +64,21 @@ def new_project(state: State, project: int, patterns: Sequence[str] | None = Non
     if state.projects.where(F.col("id") == project).limit(1).count():
         raise AlreadyExists(f"project id already exists: {project}")
     spark = state.projects.sparkSession
+    check_patterns(spark, patterns or ())
     row = spark.createDataFrame([(project, 0, list(patterns) if patterns is not None else None)], "id long, latest_version long, pack_patterns array<string>")
     out = replace(state, projects=state.projects.select("id", "latest_version", "pack_patterns").unionByName(row))
     return out if template is None else template_copy(out, template, project)
 
 
+def check_patterns(spark: SparkSession, patterns: Sequence[str]) -> None:
+    """Raises BadPattern for what the engine that searches paths can't compile, before any task runs."""
+    for p in patterns:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(p)
+        except IllegalArgumentException as e:
+            raise BadPattern(f"{p!r} is no pattern: {e}") from None
+
+
 def same_patterns(projects: DataFrame, a: int, b: int) -> bool:
     """Null and unknown are like no pattern; the order counts."""
     found = {r[0]: list(r[1] or []) for r in projects.where(F.col("id").isin(a, b)).select("id", "pack_patterns").collect()}

@@ -6,6 +6,7 @@ make every tombstone rule occur.
 
 from __future__ import annotations
 
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from arbordelta.operators.mutate import State
 from arbordelta.schema import table
+from arbordelta.sources.scratch import written
 
 _STORE = """
 raw as (
@@ -65,17 +67,45 @@ class Tables(NamedTuple):
         return State(*self[:3])
 
 
-def derived(spark: SparkSession, sf_dir: str, unique: bool = False) -> Tables:
-    """The store; with `unique`, no two files have the same content."""
-    events = table(spark, sf_dir, "events")
+class Derived:
+    """The store; each table is derived once and read from the shared folder afterwards."""
 
-    def one(name: str) -> DataFrame:
-        return spark.sql(f"with {_text(True, unique)} select * from {name}", events=events)
+    def __init__(self, spark: SparkSession, sf_dir: str, unique: bool):
+        self._spark, self._text, self._events = spark, _text(True, unique), table(spark, sf_dir, "events")
 
-    cache = one("cache_versions").groupBy("version").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
-    return Tables(
-        one("projects").withColumn("pack_patterns", F.lit(None).cast("array<string>")), one("objects"),
-        one("contents").select("hash", F.col("content").cast("binary").alias("bytes")), cache)
+    def _one(self, name: str) -> DataFrame:
+        return self._spark.sql(f"with {self._text} select * from {name}", events=self._events)
+
+    @cached_property
+    def projects(self) -> DataFrame:
+        return written(self._one("projects").withColumn("pack_patterns", F.lit(None).cast("array<string>")), "projects")
+
+    @cached_property
+    def objects(self) -> DataFrame:
+        return written(self._one("objects"), "objects")
+
+    @cached_property
+    def contents(self) -> DataFrame:
+        return written(self._one("contents").select("hash", F.col("content").cast("binary").alias("bytes")), "contents")
+
+    @cached_property
+    def cache_versions(self) -> DataFrame:
+        return written(self._one("cache_versions").groupBy("version").agg(F.sort_array(F.collect_list("hash")).alias("hashes")), "cache_versions")
+
+    @property
+    def state(self) -> State:
+        return State(self.projects, self.objects, self.contents)
+
+
+_DERIVED: dict[tuple, Derived] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str, unique: bool = False) -> Derived:
+    """The store derived from events; with `unique`, no two files have the same content."""
+    key = (spark.sparkContext.applicationId, sf_dir, unique)
+    if key not in _DERIVED:
+        _DERIVED[key] = Derived(spark, sf_dir, unique)
+    return _DERIVED[key]
 
 
 def given(spark: SparkSession, sf_dir: str) -> Tables:

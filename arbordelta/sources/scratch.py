@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,14 +14,24 @@ _KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a local one is set only where it is unset and there is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='arbordelta-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The shared folder as a path of the file system, for what is written file by file."""
+    folder = shared_folder(spark)
+    if not folder.startswith(("file:", "/")):
+        raise ValueError(f"{folder} is not in a file system that all executors mount")
+    return "/" + folder.removeprefix("file:").lstrip("/")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,8 +46,20 @@ def _remove_all() -> None:
         _remove(*_KEPT.pop())
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes, at its end, the scratch tables that were made within: for work whose result has been written elsewhere."""
+    before = {path for _, path in _KEPT}
+    try:
+        yield
+    finally:
+        for spark, path in [k for k in _KEPT if k[1] not in before]:
+            _remove(spark, path)
+            _KEPT.remove((spark, path))
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared folder, removed when the driver ends."""
+    """A folder of its own in the shared folder, removed at the end of the scope, or of the driver."""
     path = f"{shared_folder(spark)}/arbordelta/{name}-{uuid.uuid4().hex}"
     _KEPT.append((spark, path))
     return path

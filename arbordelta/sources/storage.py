@@ -1,7 +1,8 @@
 """A store on a shared folder: Parquet parts, generations, atomic commits.
 
-A generation names the parts of its tables.  Contents only grow by appended
-parts.  Objects are split by project into buckets, and a write rewrites the
+A generation names the parts of its tables.  Contents grow by appended parts,
+which `fold_contents` merges tier by tier, so their number stays small; `vacuum`
+removes what only old generations or lost attempts hold.  Objects are split by project into buckets, and a write rewrites the
 buckets of the projects it names, so its cost follows them and not the store.
 A writer publishes generation n + 1 by renaming a small entry into place: of two
 writers that read the same generation only one can do that, the other gets
@@ -23,6 +24,8 @@ from arbordelta.sources.commits import Conflict as Conflict
 
 SCHEMAS = {"projects": PROJECTS, "objects": OBJECTS, "contents": CONTENTS, "cache_versions": CACHE_VERSIONS}
 BUCKETS = 64
+#: Parts of contents of one tier that are merged into one of the next.
+FAN_IN = 16
 #: What parts are sorted by, so that row groups are pruned by their ranges.
 LAYOUT = {"objects": ["project", "start_version", "path"], "contents": ["hash"]}
 
@@ -105,3 +108,34 @@ class Store:
 
     def commit_update(self, read: int, update: Update, buckets: Collection[int], batch: tuple[str, int] | None = None) -> int:
         return self.commit(read, {"projects": update.projects, "objects": update.objects}, {"contents": update.fresh}, buckets, batch)
+
+    def fold_contents(self, fan_in: int = FAN_IN) -> int | None:
+        """Merges the contents' parts of the first tier that has `fan_in` of them; the new generation, or None."""
+        read = self.generation()
+        entry = self.entry(read)
+        tiers: dict[int, list[str]] = {}
+        for path in entry["parts"].get("contents", {}).get("-", []):
+            tiers.setdefault(int(path.rpartition("~")[2]) if "~" in path else 0, []).append(path)
+        due = next((t for t in sorted(tiers) if len(tiers[t]) >= fan_in), None)
+        if due is None:
+            return None
+        path = f"{self.commits.own_folder(read + 1)}/contents~{due + 1}"
+        self._write(path, "contents", self.spark.read.schema(CONTENTS).parquet(*tiers[due]), entry["buckets"])
+        entry["parts"]["contents"]["-"] = [*(p for t in tiers if t != due for p in tiers[t]), path]
+        self.commits.publish(read + 1, entry)
+        return read + 1
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes all generations but the last `keep`, and the data folders that none of these reads; how many folders.
+
+        Attempts at the next generation are left alone.
+        """
+        numbers = self.commits.numbers()
+        kept = numbers[-keep:]
+        used = {path.removeprefix(f"{self.root}/data/").partition("/")[0] for n in kept for parts in self.entry(n)["parts"].values() for paths in parts.values() for path in paths}
+        for n in numbers[:-keep]:
+            self.commits.remove(f"{self.root}/_commits/{n}")
+        old = [f for f in self.commits.names(f"{self.root}/data") if f not in used and int(f.partition("-")[0]) <= max(kept, default=0)]
+        for folder in old:
+            self.commits.remove(f"{self.root}/data/{folder}")
+        return len(old)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from arbordelta.operators.changes import EqualityDeleteTable
 from arbordelta.operators.mutate import plan_update
+from arbordelta.sources.scratch import scratch_scope
 from arbordelta.sources.storage import Conflict, Store
 
 
@@ -25,13 +26,18 @@ def apply_to_store(store: Store, batch: DataFrame, stream: str | None = None, nu
                 return None
             named = batch.select(store.bucket(F.col("project"), read).alias("b")).where("b is not null").distinct()
             buckets = [r["b"] for r in named.collect()]  # at most the store's number of buckets
-            update = plan_update(store.state(read, buckets), batch)
             try:
-                done = store.commit_update(read, update, buckets, (stream, number) if stream is not None else None)
+                with scratch_scope():
+                    update = plan_update(store.state(read, buckets), batch)
+                    done = store.commit_update(read, update, buckets, (stream, number) if stream is not None else None)
             except Conflict:
                 if attempt == tries - 1:
                     raise
                 continue
+            try:
+                store.fold_contents()
+            except Conflict:  # whoever was first may fold as well
+                pass
             named = batch.select(F.col("project").alias("_p")).distinct()
             return store.table("projects", done).join(named, F.col("id") == F.col("_p")).select(F.col("id").alias("project"), F.col("latest_version").alias("version"))
     finally:

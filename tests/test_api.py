@@ -42,9 +42,14 @@ def test_life_of_a_project(trees):
     trees.rollback(1, 1)
     assert content(trees, 1) == {"a": b"1", "d/b": b"1"}
     assert tuple(trees.inspect(1).first()) == (1, 1, 2, 2)
+    with pytest.raises(mutate.BadPattern):
+        trees.new_project(8, ["ok/", "(/"])
+    before = content(trees, 1)
+    assert trees.gc_project(2, 1) >= 0 and trees.fold_and_vacuum() > 0 and trees.fold_and_vacuum() == 0
+    assert content(trees, 1) == before and len(trees.store.commits.numbers()) == 1
     trees.delete_project(2)
     assert [r.id for r in trees.list_projects().collect()] == [1]
-    assert trees.gc_contents(100) == 1
+    assert trees.gc_contents(100) == 1 and trees.gc_contents(100) == 0
     trees.reset("1=1")
     assert trees.snapshot() == "1=1"
     with pytest.raises(reads.ProjectNotFound):
@@ -176,3 +181,30 @@ def test_rebuild_with_a_cache(trees, tmp_path):
     fresh = Workspace(trees, 1, str(tmp_path / "x"))
     assert fresh.rebuild(to=1, cache_root=cache, include="*")[1:] == (3, 2, True)
     assert on_disk(fresh.root) == content(trees, 1, to=1)
+
+
+def test_collection_of_a_project_keeps_what_others_hold(trees):
+    for p in (1, 65, 2):
+        trees.new_project(p)
+    send(trees, 1, ("a", b"own"), ("b", b"shared"), ("c", b"near"))
+    send(trees, 65, ("x", b"near"))
+    send(trees, 2, ("x", b"shared"))
+    for k in range(3):
+        send(trees, 1, *[(p, b"new%d" % k) for p in "abc"])
+    hashes = lambda: trees.store.table("contents").count()
+    n = hashes()
+    assert trees.gc_project(1, 1) == 2 and hashes() == n - 2  # "own" and "new0"; "new1" ended one version ago only
+    assert content(trees, 2) == {"x": b"shared"} and content(trees, 65) == {"x": b"near"} and content(trees, 1) == {p: b"new2" for p in "abc"}
+
+
+def test_contents_are_folded_by_tiers(spark, tmp_path):
+    from arbordelta.schema import CONTENTS
+
+    store, n = Store(spark, f"file://{tmp_path}/folded"), 0
+    for k in range(9):
+        store.commit(store.generation(), append={"contents": spark.createDataFrame([(f"h{k}", b"x")], CONTENTS)})
+        while store.fold_contents(fan_in=3) is not None:
+            n += 1
+    assert n == 4 and len(store.entry()["parts"]["contents"]["-"]) == 1
+    assert sorted(r.hash for r in store.table("contents").collect()) == [f"h{k}" for k in range(9)]
+    assert store.vacuum(2) > 0 and len(store.commits.numbers()) == 2 and store.table("contents").count() == 9
