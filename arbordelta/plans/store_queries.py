@@ -6,9 +6,6 @@ that end in _given run on the given tables.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +13,9 @@ from arbordelta.functions.paths import content_hash, glob_match, kind, pack_pare
 from arbordelta.operators import cache, gc, mutate, packs, reads, tarstream, temporal
 from arbordelta.operators.reads import ObjectQuery
 from arbordelta.plans.fixtures import derived, given, with_store
-from arbordelta.schema import UPDATES, table
+from arbordelta.schema import DIR_BIT, LINK_BIT, UPDATES, table
 from arbordelta.sources import tree
+from arbordelta.sources.scratch import scratch_folder, shared_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -340,6 +338,79 @@ def pack_merge(spark, sf_dir):
     return packs.merge_packs(before, updates)
 
 
+# Packs of fixed members: what they hold, and the hashes of their bytes, are literals.
+
+_MEMBERS = [
+    (1, "m/", "m/a", 420, b"A"), (1, "m/", "m/b/c", 493, b"CC"), (1, "m/", "m/e/", 1 << 31 | 493, None), (1, "m/", "m/l", 1 << 27 | 511, b"a"),
+    (2, "n/", "n/x", 420, b""), (2, "n/", "n/y", 384, b"yy")]
+
+
+def _fixed_packs(spark):
+    rows = spark.createDataFrame([(p, d, path, mode, len(c or b""), False, c) for p, d, path, mode, c in _MEMBERS], "project long, pack_path string, path string, mode long, size long, deleted boolean, content binary")
+    return packs.build_packs(rows)
+
+
+def _plain_members(df):
+    return df.select(F.col("project").cast("int").alias("project"), "path", F.col("mode").cast("string").alias("mode"), F.coalesce(F.decode("content", "utf-8"), F.lit("")).alias("text"))
+
+
+@query("""select * from (values
+  (1, 'm/a', '420', 'A'), (1, 'm/b/c', '493', 'CC'), (1, 'm/e/', '2147484141', ''), (1, 'm/l', '134218239', 'a'), (2, 'n/x', '420', ''), (2, 'n/y', '384', 'yy')) t(project, path, mode, text)""", store=False)
+def pack_expand_case(spark, sf_dir):
+    return _plain_members(packs.expand_packs(_fixed_packs(spark).withColumnRenamed("pack_path", "path")))
+
+
+@query("""select * from (values
+  (1, 'm/a', '493', 'AA'), (1, 'm/e/', '2147484141', ''), (1, 'm/l', '134218239', 'a'), (1, 'm/0', '420', 'new'), (3, 'k/z', '420', 'z')) t(project, path, mode, text)""", store=False)
+def pack_merge_case(spark, sf_dir):
+    """A member written twice, one deleted, one new, a pack that loses all members, and a pack that is new."""
+    updates = [(1, "m/", 1, "m/a", 420, False, b"no"), (1, "m/", 2, "m/a", 493, False, b"AA"), (1, "m/", 3, "m/b/c", 0, True, None), (1, "m/", 4, "m/0", 420, False, b"new"),
+               (2, "n/", 1, "n/x", 0, True, None), (2, "n/", 2, "n/y", 0, True, None), (3, "k/", 1, "k/z", 420, False, b"z"), (3, "k/", 2, "k/no", 0, True, None)]
+    frame = spark.createDataFrame(updates, "project long, pack_path string, seq long, path string, mode long, deleted boolean, content binary").withColumn("size", F.octet_length("content").cast("long"))
+    merged = packs.merge_packs(_fixed_packs(spark).withColumn("hash", F.sha2("content", 256)), frame)
+    return _plain_members(packs.expand_packs(merged.where(F.col("hash").isNotNull()).withColumnRenamed("pack_path", "path")))
+
+
+def _fixed_store(spark):
+    built = _fixed_packs(spark).withColumn("hash", F.sha2("content", 256))
+    objects = built.select(
+        "project", F.lit(1).cast("long").alias("start_version"), F.lit(None).cast("long").alias("stop_version"), F.col("pack_path").alias("path"), "hash", F.lit(0).cast("long").alias("mode"),
+        F.octet_length("content").cast("long").alias("size"), F.lit(True).alias("packed"))
+    plain = spark.createDataFrame([(1, 1, None, "m2", "f", 420, 1, False), (2, 1, None, "o", "f", 420, 1, False)], objects.schema)
+    contents = built.select("hash", F.col("content").alias("bytes")).unionByName(spark.createDataFrame([("f", b"F")], "hash string, bytes binary"))
+    projects = spark.createDataFrame([(1, 1, ["^m/"]), (2, 1, ["^n/"])], "id long, latest_version long, pack_patterns array<string>")
+    return mutate.State(projects, objects.unionByName(plain), contents)
+
+
+@query("""select * from (values (0, 1, 'm/a'), (0, 1, 'm/b/c'), (0, 1, 'm/e/'), (0, 1, 'm/l'), (0, 1, 'm2'), (1, 1, 'm/b/c'), (2, 1, 'm/l'), (3, 2, 'o')) t(query_idx, project, path)""", store=False)
+def get_in_pack_case(spark, sf_dir):
+    """Through packs: a prefix that ends before a pack, one within it, a path in it, and a path beside it."""
+    state = _fixed_store(spark)
+    queries = [ObjectQuery("m", is_prefix=True), ObjectQuery("m/b", is_prefix=True), ObjectQuery("m/l"), ObjectQuery("o")]
+    found = reads.get_multi(lambda q: reads.get_objects(state.objects, state.contents, state.projects, q), queries)
+    return found.select(F.col("query_idx").cast("int").alias("query_idx"), F.col("project").cast("int").alias("project"), "path")
+
+
+@query("""select * from (values (1, 'm/a', '420', 'A2'), (1, 'm/e/', '2147484141', ''), (1, 'm/l', '134218239', 'a'), (1, 'm/new', '420', 'N'), (1, 'm2', '420', 'F'), (1, 'p', '420', 'P'), (2, 'o', '420', 'F')) t(project, path, mode, text)""", store=False)
+def update_packed_case(spark, sf_dir):
+    """One batch that changes members, empties a pack, and writes beside packs."""
+    batch = [(1, 1, "m/a", 420, False, b"A2"), (1, 2, "m/b/c", 0, True, None), (1, 3, "m/new", 420, False, b"N"), (1, 4, "p", 420, False, b"P"), (2, 1, "n/x", 0, True, None), (2, 2, "n/y", 0, True, None)]
+    frame = spark.createDataFrame(batch, "project long, seq long, path string, mode long, deleted boolean, content binary").withColumn("size", F.octet_length("content").cast("long"))
+    state, _ = mutate.update_batch(_fixed_store(spark), frame)
+    return _plain_members(reads.get_objects(state.objects, state.contents, state.projects, ObjectQuery(is_prefix=True)))
+
+
+@query("""select * from (values (1, 0, 'm2', false), (1, 0, 'gone', true), (1, null, 'm/a', false), (1, null, 'm/b/c', false), (1, null, 'm/e/', false), (1, null, 'm/l', false)) t(project, chunk, path, deleted)""", store=False)
+def get_tars_case(spark, sf_dir):
+    """The entries of the TARs that lead from version 0 to 2: one chunk, with a tombstone, and a pack alone."""
+    state = _fixed_store(spark)
+    more = spark.createDataFrame([(1, 1, 2, "gone", "f", 420, 1, False), (1, 1, 2, "m2", "f", 420, 1, False), (1, 2, None, "m2", "f", 493, 1, False)], state.objects.schema)
+    later = state.objects.where("project = 1").withColumn("start_version", F.when(F.col("packed"), 2).otherwise(F.col("start_version")).cast("long")).where("path <> 'm2'").unionByName(more)
+    tars = tarstream.get_tars(later, state.contents, spark.createDataFrame([], "version long, hashes array<string>"), ObjectQuery(is_prefix=True), 1, 2)
+    entries = packs.expand_packs(tars.select("project", F.coalesce("pack_path", F.lit("")).alias("path"), F.col("bytes").alias("content")))
+    return entries.select(F.col("project").cast("int").alias("project"), F.when(F.col("pack_path") == "", 0).alias("chunk"), "path", "deleted")
+
+
 @query()
 def tar_bytes(spark, sf_dir):
     t = derived(spark, sf_dir)
@@ -525,7 +596,6 @@ def update_stream(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, batch):
-    from arbordelta.sources.scratch import scratch_folder
     from arbordelta.sources.storage import Store
     from arbordelta.streaming.ingest import start_ingest
 
@@ -707,13 +777,33 @@ def dir_diff(spark, sf_dir):
     return tree.dir_diff(temporal.snapshot(objects, 10), temporal.snapshot(objects, 20), ["project", "path"])
 
 
-@query()
+_TREE = """
+live as (
+  select project, path, coalesce(mode, 0) & 511 as mode, coalesce(c.bytes, ''::blob) as bytes from (
+    select project, path, max(mode) as mode, max(lower(trim(hash))) as hash from objects
+    where stop_version is null and start_version > 0 and not packed and project is not null and path is not null and (coalesce(mode, 0) & 2147483648) = 0 and (coalesce(mode, 0) & 134217728) = 0
+    group by project, path) o left join contents c on lower(trim(c.hash)) = o.hash),
+plain as (select * from live l where path not like '%/' and path not like '/%' and path not like '%//%' and path not like '%..%'
+  and not exists (select 1 from live m where m.project = l.project and starts_with(m.path, l.path || '/'))
+)
+"""
+
+
+@query(f"with {_TREE.strip()} select project || '/' || path as path, sha256(bytes) as hash, octet_length(bytes) as size from plain", store=False)
 def scan_dir(spark, sf_dir):
-    from arbordelta.sources.scratch import shared_folder
-
-    base = shared_folder(spark)
-    root = tempfile.mkdtemp(prefix="tree-", dir=base.removeprefix("file://") if base.startswith(("file://", "/")) else None)
-    for path, mode, content in (("a/b.txt", 420, b"b"), ("a/empty/", 0o755 | 1 << 31, None), ("link", 0o777 | 1 << 27, b"a/b.txt")):
-        tree.write_object(root, path, mode, False, content)
-    os.chmod(os.path.join(root, "a"), 0o755)
-    return tree.scan_dir(spark, root).select("path", "mode", "deleted")
+    """The live plain files of all projects, written as one tree by the executors and scanned again."""
+    t = given(spark, sf_dir)
+    mode = F.coalesce(F.col("mode"), F.lit(0))
+    live = t.objects.where(
+        F.col("stop_version").isNull() & (F.col("start_version") > 0) & ~F.col("packed") & F.col("project").isNotNull() & F.col("path").isNotNull() & (mode.bitwiseAND(DIR_BIT | LINK_BIT) == 0))
+    live = live.groupBy("project", "path").agg(F.max("mode").alias("mode"), F.max(F.lower(F.trim("hash"))).alias("hash"))
+    above = live.select(F.col("project").alias("_p"), F.explode(slash_prefixes(F.col("path"))).alias("_d")).select("_p", F.expr("left(_d, length(_d) - 1)").alias("_d")).distinct()
+    files = live.where(~F.col("path").rlike("^/|/$|//|[.][.]")).join(above, (F.col("project") == F.col("_p")) & (F.col("path") == F.col("_d")), "left_anti")
+    blobs = t.contents.select(F.lower(F.trim("hash")).alias("_h"), "bytes")
+    rows = files.join(blobs, F.col("hash") == F.col("_h"), "left").select(
+        F.concat(F.col("project").cast("string"), F.lit("/"), "path").alias("path"), F.lit(420).cast("long").alias("mode"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("deleted"), F.col("bytes").alias("content"))
+    shared_path(spark)
+    root = scratch_folder(spark, "tree").removeprefix("file:")
+    root = "/" + root.lstrip("/")
+    tree.materialize(rows, root)
+    return tree.scan_dir(spark, root).where(~F.col("deleted")).select("path", content_hash(F.col("content")).alias("hash"), F.octet_length("content").cast("long").alias("size"))

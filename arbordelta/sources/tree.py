@@ -39,33 +39,62 @@ def read_object(root: str, path: str) -> tuple:
         return path, 0, 0, True, b""
 
 
-def list_dir(root: str) -> Iterator[str]:
+def _entries(root: str, rel: str) -> tuple[list[str], list[str]]:
+    """(directories, others) in one directory; an empty directory stands for itself among the others."""
+    entries = sorted(os.scandir(os.path.join(root, rel)), key=lambda e: e.name)
+    entries = [e for e in entries if not (rel == "" and e.name == STATE_DIR)]
+    folders = [f"{rel}{e.name}/" for e in entries if e.is_dir(follow_symlinks=False)]
+    others = [f"{rel}{e.name}" for e in entries if not e.is_dir(follow_symlinks=False)]
+    return folders, others or ([rel] if rel and not folders else [])
+
+
+def list_dir(root: str, below: str = "") -> Iterator[str]:
     """Files, symlinks and empty directories (with a trailing slash), relative to root."""
-    stack = [""]
+    stack = [below]
     while stack:
-        rel = stack.pop()
-        entries = sorted(os.scandir(os.path.join(root, rel)), key=lambda e: e.name)
-        entries = [e for e in entries if not (rel == "" and e.name == STATE_DIR)]
-        if not entries and rel:
-            yield rel
-        for e in entries:
-            if e.is_dir(follow_symlinks=False):
-                stack.append(f"{rel}{e.name}/")
-            else:
-                yield f"{rel}{e.name}"
+        folders, others = _entries(root, stack.pop())
+        stack += folders
+        yield from others
 
 
 def scan_dir(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mode, size, deleted, content) of a tree."""
-    tops = [(p,) for p in list_dir(root)]
-    paths = spark.createDataFrame(tops, "path string")
+    """(path, mode, size, deleted, content) of a tree.
+
+    The driver opens directories, level by level, only until there are a few for
+    each core; the executors list what is below these.
+    """
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    folders, found = [""], []
+    while folders and len(folders) < wanted:
+        folder = folders.pop(0)
+        below, others = _entries(root, folder)
+        folders += below
+        found += others
+    tops = [(f, True) for f in folders] + [(p, False) for p in found]
+    if not tops:
+        return spark.createDataFrame([], OBJECT_SCHEMA)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, folder in zip(frame["path"], frame["folder"]):
+                listed = list(list_dir(root, path)) if folder else [path]
+                for at in range(0, len(listed), 10_000):
+                    yield pd.DataFrame({"path": listed[at:at + 10_000]})
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            held, size = [], 0
             for path in frame["path"]:
-                yield pd.DataFrame([read_object(root, path)], columns=["path", "mode", "size", "deleted", "content"])
-
-    return paths.repartition("path").mapInPandas(read, OBJECT_SCHEMA) if tops else spark.createDataFrame([], OBJECT_SCHEMA)
+                held.append(read_object(root, path))
+                size += held[-1][2]
+                if len(held) == 1000 or size > 16 << 20:
+                    yield pd.DataFrame(held, columns=["path", "mode", "size", "deleted", "content"])
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=["path", "mode", "size", "deleted", "content"])
+
+    paths = spark.createDataFrame(tops, "path string, folder boolean").repartition(wanted, "path").mapInPandas(walk, "path string")
+    return paths.repartition("path").mapInPandas(read, OBJECT_SCHEMA)
 
 
 def dir_diff(before: DataFrame, after: DataFrame, keys: list[str] = ["path"]) -> DataFrame:
