@@ -541,11 +541,8 @@ def delete_objects(spark, sf_dir):
 
 
 def _batch(spark, sf_dir):
-    return _as_batch(table(spark, sf_dir, "events").where("event_id % 97 = 0"))
-
-
-def _as_batch(events):
-    return events.select(
+    """All events as one batch."""
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("project"), F.col("event_id").alias("seq"),
         F.expr("""case when event_id % 11 = 0 then concat('d', event_id % 3, '/')
           when event_id % 11 = 1 then concat('d', event_id % 3) else concat('d', event_id % 3, '/f', event_id % 5) end""").alias("path"),
@@ -558,7 +555,7 @@ batch as (
   select user_id as project, event_id as seq,
     case when event_id % 11 = 0 then concat('d', event_id % 3, '/') when event_id % 11 = 1 then concat('d', event_id % 3) else concat('d', event_id % 3, '/f', event_id % 5) end as path,
     cast(493 as bigint) as mode, cast(length(props) as bigint) as size, event_type = 'error' as deleted, sha256(props) as hash
-  from main.events where event_id % 97 = 0),
+  from main.events),
 gone as (select distinct project, path from batch where deleted),
 after_ as (
   select o.project, start_version, case when stop_version is null and g.path is not null then latest_version + 1 else stop_version end as stop_version, o.path, hash, mode, size, packed
@@ -592,48 +589,18 @@ def update_batch(spark, sf_dir):
 @query(f"{_BATCH} select {FULL_SQL} from final_")
 def update_stream(spark, sf_dir):
     """The same batch through a file stream into a store on disk."""
-    return _streamed(spark, sf_dir, _batch(spark, sf_dir))
-
-
-def _streamed(spark, sf_dir, batch):
     from arbordelta.sources.storage import Store
     from arbordelta.streaming.ingest import start_ingest
 
     folder, t = scratch_folder(spark, "stream"), derived(spark, sf_dir)
     store = Store(spark, f"{folder}/store")
     store.commit(0, {"projects": t.projects, "objects": t.objects, "contents": t.contents})
-    batch.coalesce(1).write.parquet(f"{folder}/feed")
+    _batch(spark, sf_dir).coalesce(1).write.parquet(f"{folder}/feed")
     changes = spark.readStream.schema(UPDATES).parquet(f"{folder}/feed")
     start_ingest(changes, store, f"{folder}/checkpoint").awaitTermination()
     return store.table("objects").select(FULL)
 
 
-# The same with all events as the batch.
-_BATCH_ALL = _BATCH.replace("from main.events where event_id % 97 = 0)", "from main.events)")
-
-
-def _batch_all(spark, sf_dir):
-    return _as_batch(table(spark, sf_dir, "events"))
-
-
-@query(f"{_BATCH_ALL} select {FULL_SQL} from final_")
-def update_objects_all(spark, sf_dir):
-    t, batch = derived(spark, sf_dir), _batch_all(spark, sf_dir)
-    return mutate.update_objects(t.objects, batch, mutate.next_versions(t.projects, batch)).select(FULL)
-
-
-@query(f"""{_BATCH_ALL} select id as project, latest_version + case when exists (select 1 from gone g where g.project = id) or exists (select 1 from inserted i where i.project = id) then 1 else 0 end as version
-from projects where id in (select project from batch)""")
-def update_batch_all(spark, sf_dir):
-    t = derived(spark, sf_dir)
-    return mutate.update_batch(t.state, _batch_all(spark, sf_dir))[1]
-
-
-@query(f"{_BATCH_ALL} select {FULL_SQL} from final_")
-def update_stream_all(spark, sf_dir):
-    return _streamed(spark, sf_dir, _batch_all(spark, sf_dir))
-
-
 @query()
 def update_packed(spark, sf_dir):
     """A batch on the given store, of which part goes into packs."""
