@@ -175,7 +175,9 @@ def pack_items(items: DataFrame, keys: list[str], length: Column, capacity: int,
         rows["container"] = [f"{shard[0]}-{c}" for c in found]
         return rows.drop(columns="_shard")
 
-    filled = rests.groupBy("_shard").applyInPandas(fill, f"{schema}, container string")
+    # A shard is few bytes and much work: as many tasks as there are shards, up to a few for each core.
+    tasks = min(shards, 4 * items.sparkSession.sparkContext.defaultParallelism)
+    filled = rests.repartition(tasks, "_shard").groupBy("_shard").applyInPandas(fill, f"{schema}, container string")
     return divided.unionByName(filled)
 
 
