@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -219,16 +220,15 @@ class CompactionStore:
 
     def files(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> DataFrame:
         """Every live file once: (project, path, hash, size, pack_id, bytes); pack_id is null where no pack holds it."""
-        live = live_files(objects, policy).drop("counted")
+        live = written(live_files(objects, policy).drop("counted"), "live")
+        parts = [live.withColumn("pack_id", F.lit(None).cast("string"))]
         if (held := self.packs()) is not None:
-            held = held.select(F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("hash").alias("_h"), "pack_id", F.col("bytes").alias("_b"))
+            held = held.select(F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("hash").alias("_h"), "pack_id", "bytes")
             same = F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")) & F.col("hash").eqNullSafe(F.col("_h"))
-            live = live.join(held, same, "left").drop("_p", "_f", "_h")
-        else:
-            live = live.withColumn("pack_id", F.lit(None).cast("string")).withColumn("_b", F.lit(None).cast("binary"))
-        loose = F.when(F.col("pack_id").isNull(), F.lower(F.trim("hash")))
-        return live.withColumn("_k", loose).join(_blobs(contents), F.col("_k") == F.col("_c"), "left").select(
-            "project", "path", "hash", "size", "pack_id", F.coalesce("_b", "bytes").alias("bytes"))
+            parts = [live.join(held.drop("pack_id", "bytes"), same, "left_anti").withColumn("pack_id", F.lit(None).cast("string")), live.join(held, same)]
+        loose = parts[0].join(_blobs(contents), F.lower(F.trim("hash")) == F.col("_c"), "left")
+        columns = ["project", "path", "hash", "size", "pack_id", "bytes"]
+        return reduce(DataFrame.unionByName, [p.select(columns) for p in (loose, *parts[1:])])
 
     def run(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> int | None:
         """One round; its number, or None if nothing was due or dropped."""

@@ -65,7 +65,9 @@ def broken_references(rows: DataFrame, references: list[Reference]) -> DataFrame
     joined = rows
     for i, r in enumerate(references):
         own = broken.where(F.col("key").endswith(f":{r.table}")).select(F.col("key").alias(f"_k{i}"), F.struct(F.lit(r.table).alias("ref_table"), "came").alias(f"_b{i}"))
-        joined = joined.join(own, r.named(r.key) == F.col(f"_k{i}"), "left")
+        # Rows that refer to nothing are spread by what they are: a null key would take them all to one task.
+        key = F.coalesce(r.named(r.key), F.xxhash64(*rows.columns).cast("string"))
+        joined = joined.join(own, key == F.col(f"_k{i}"), "left")
     hit = F.explode(F.array_compact(F.array(*[F.col(f"_b{i}") for i in range(len(references))]))).alias("_b")
     came = F.col("_b.came")
     return joined.select(*rows.columns, hit).where(came.isNull() | (F.col("loaded_at") < came)).select(

@@ -81,6 +81,8 @@ def with_content(rows: DataFrame, contents: DataFrame, limit: int | None = None)
     """rows with `content`; null where `size` is above the limit, and then its bytes are never joined."""
     blobs = contents.select(F.col("hash").alias("_h"), F.col("bytes").alias("content"))
     key = F.col("hash") if not limit else F.when(F.col("size") <= limit, F.col("hash"))
+    # Rows without a key are spread by their path: a null key would take them all to one task.
+    key = F.coalesce(key, F.concat(F.lit("-"), F.col("path")))
     return rows.withColumn("_k", key).join(blobs, F.col("_k") == F.col("_h"), "left").drop("_k", "_h")
 
 
