@@ -31,6 +31,7 @@ Empty tables give empty results.  Extra columns are ignored.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import NamedTuple
@@ -113,45 +114,60 @@ MEMBER = "pack_id string, project long, path string, hash string, size long, byt
 class Round(NamedTuple):
     """merges: (txn_id, level, project, dir_path, output, n_inputs, n_bytes, inputs_digest), one row per merge.
 
-    moves: (output, item, project, path, hash, size, tier), one row per input: a file has a path, a pack a tier.
-    dropped: (pack_id, project, path) of members that are no longer live.
+    moves: (output, new_tier, item, project, path, hash, size, tier), one row per input: a file has a path, a pack a tier.
     """
 
     merges: DataFrame
     moves: DataFrame
-    dropped: DataFrame
 
 
-def plan_round(files: DataFrame, members: DataFrame | None, number: int, policy: TierPolicy = DEFAULT_POLICY) -> Round:
-    """What round `number` merges; files: a table of the live files; members: (pack_id, project, path, hash, tier) of the packs so far.
+def locate(files: DataFrame, members: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(items, dropped): what the packs' members (pack_id, project, path, hash, tier) and the live files add up to.
 
-    Writes where the files are, and what they become, to the shared folder, as both are read several times.
+    items: (item, project, path, hash, size, counted, tier), one row per loose file and per pack with live members.
+    dropped: (pack_id, project, path) of members that are no longer live.
     """
-    files = files.withColumn("live", F.lit(True))
+    file_id = F.concat(F.lit("F-"), _digest(F.col("project"), F.col("path"), F.col("hash"))).alias("item")
+    columns = ["item", "project", "path", "hash", "size", "counted", "tier"]
     if members is None:
-        located = files.select("project", "path", "hash", "size", "counted", "live", F.lit(None).cast("string").alias("pack_id"), F.lit(None).cast("int").alias("tier"))
-    else:
-        held = members.select(F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("hash").alias("_h"), "pack_id", "tier")
-        same = F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")) & F.col("hash").eqNullSafe(F.col("_h"))
-        located = written(files.join(held, same, "full_outer").select(
-            F.when(F.col("live"), F.col("project")).otherwise(F.col("_p")).alias("project"), F.coalesce("path", "_f").alias("path"), F.coalesce("hash", "_h").alias("hash"),
-            F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("counted", F.lit(False)).alias("counted"), F.coalesce("live", F.lit(False)).alias("live"), "pack_id", "tier"), "located")
-    dropped = located.where(~F.col("live")).select("pack_id", "project", "path")
-    tiny = F.col("counted") | (F.col("size") < policy.bounds[0])
-    loose = located.where(F.col("live") & F.col("pack_id").isNull()).withColumn("dir_path", directory(F.col("path")))
-    due = loose.where(tiny).groupBy(F.col("project").alias("_dp"), F.col("dir_path").alias("_dir")).agg(
-        F.count(F.when(F.col("counted"), 1)).alias("_n"), F.count(F.lit(1)).alias("_inputs"), F.sum("size").alias("_bytes")).where(F.col("_n") >= policy.min_files)
-    due = due.select("_dp", "_dir", _slots(F.col("_bytes"), F.col("_inputs"), policy).alias("_slots"))
-    file_id = F.concat(F.lit("F-"), _digest(F.col("project"), F.col("path"), F.col("hash")))
-    taken = tiny & F.col("_slots").isNotNull()
-    slot = F.pmod(F.xxhash64("path"), F.col("_slots"))
-    here = loose.join(due, F.col("project").eqNullSafe(F.col("_dp")) & (F.col("dir_path") == F.col("_dir")), "left").select(
-        "project", "path", "hash", "size", "tier", file_id.alias("item"), F.when(taken, F.col("dir_path")).alias("dir_path"),
-        F.when(taken, F.concat(F.lit("P0-"), _digest(F.lit(number), F.col("project"), F.col("dir_path"), slot))).alias("output"))
-    packs = located.where(F.col("live") & F.col("pack_id").isNotNull()).groupBy("project", "pack_id").agg(F.sum("size").alias("size"), F.max("tier").alias("tier"))
+        items = files.select(file_id, "*", F.lit(None).cast("int").alias("tier")).select(columns)
+        return items, files.sparkSession.createDataFrame([], "pack_id string, project long, path string")
+    held = members.select(F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("hash").alias("_h"), "pack_id", "tier")
+    same = F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")) & F.col("hash").eqNullSafe(F.col("_h"))
+    located = written(files.withColumn("live", F.lit(True)).join(held, same, "full_outer").select(
+        F.when(F.col("live"), F.col("project")).otherwise(F.col("_p")).alias("project"), F.coalesce("path", "_f").alias("path"), F.coalesce("hash", "_h").alias("hash"),
+        F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("counted", F.lit(False)).alias("counted"), F.coalesce("live", F.lit(False)).alias("live"), "pack_id", "tier"), "located")
+    here = located.where("live")
+    loose = here.where(F.col("pack_id").isNull()).select(file_id, "project", "path", "hash", "size", "counted", "tier")
+    packs = here.where(F.col("pack_id").isNotNull()).groupBy("project", F.col("pack_id").alias("item")).agg(F.sum("size").alias("size"), F.max("tier").alias("tier"))
+    return loose.unionByName(_as_items(packs)), located.where(~F.col("live")).select("pack_id", "project", "path")
+
+
+def _as_items(packs: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return packs.select("item", "project", none.alias("path"), none.alias("hash"), "size", F.lit(False).alias("counted"), "tier")
+
+
+def plan_round(items: DataFrame, number: int, policy: TierPolicy = DEFAULT_POLICY, directories: bool = True) -> Round:
+    """What round `number` merges of the items; without `directories`, no level 0.
+
+    What each item becomes is written to the shared folder, as it is read several times.
+    """
+    tiny = F.col("path").isNotNull() & (F.col("counted") | (F.col("size") < policy.bounds[0]))
     none = F.lit(None).cast("string")
-    packs = packs.select("project", none.alias("path"), none.alias("hash"), "size", "tier", F.col("pack_id").alias("item"), none.alias("dir_path"), none.alias("output"))
-    items = written(here.unionByName(packs).withColumn("class", size_class(F.col("size"), policy)), "items")
+    if directories:
+        items = items.withColumn("dir_path", F.when(tiny, directory(F.col("path"))))
+        due = items.where(F.col("dir_path").isNotNull()).groupBy(F.col("project").alias("_dp"), F.col("dir_path").alias("_dir")).agg(
+            F.count(F.when(F.col("counted"), 1)).alias("_n"), F.count(F.lit(1)).alias("_inputs"), F.sum("size").alias("_bytes")).where(F.col("_n") >= policy.min_files)
+        due = due.select("_dp", "_dir", _slots(F.col("_bytes"), F.col("_inputs"), policy).alias("_slots"))
+        slot = F.pmod(F.xxhash64("path"), F.col("_slots"))
+        taken = F.col("_slots").isNotNull()
+        items = items.join(due, F.col("project").eqNullSafe(F.col("_dp")) & (F.col("dir_path") == F.col("_dir")), "left").withColumn(
+            "output", F.when(taken, F.concat(F.lit("P0-"), _digest(F.lit(number), F.col("project"), F.col("dir_path"), slot)))).withColumn(
+            "dir_path", F.when(taken, F.col("dir_path"))).drop("_dp", "_dir", "_slots")
+    else:
+        items = items.withColumn("dir_path", none).withColumn("output", none)
+    items = written(items.withColumn("class", size_class(F.col("size"), policy)), "items")
 
     rest = items.where(F.col("output").isNull() & (F.col("class") < len(policy.bounds)))
     like = rest.groupBy(F.col("project").alias("_lp"), F.col("class").alias("_class")).agg(F.count(F.lit(1)).alias("_inputs"), F.sum("size").alias("_bytes"))
@@ -160,14 +176,22 @@ def plan_round(files: DataFrame, members: DataFrame | None, number: int, policy:
     by_class = rest.join(like, F.col("project").eqNullSafe(F.col("_lp")) & (F.col("class") == F.col("_class"))).withColumn(
         "output", F.concat(F.lit("P"), level.cast("string"), F.lit("-"), _digest(F.lit(number), F.col("project"), level, F.pmod(F.xxhash64("item"), F.col("_slots"))))).withColumn("level", level)
     columns = ["level", "project", "dir_path", "output", "item", "path", "hash", "size", "tier"]
-    moved = items.where(F.col("output").isNotNull()).withColumn("level", F.lit(0)).select(columns).unionByName(by_class.select(columns))
+    moved = by_class.select(columns)
+    if directories:
+        moved = items.where(F.col("output").isNotNull()).withColumn("level", F.lit(0)).select(columns).unionByName(moved)
     # A slot that only one input fell into is no merge.
     merges = moved.groupBy("level", "project", "dir_path", "output").agg(
         F.count(F.lit(1)).alias("n_inputs"), F.sum("size").alias("n_bytes"), F.bit_xor(F.xxhash64("item")).alias("inputs_digest")).where("n_inputs > 1")
     txn = _digest(F.lit(number), F.col("level"), F.col("output"), F.col("n_inputs"), F.col("n_bytes"), F.col("inputs_digest"))
     merges = written(merges.select(txn.alias("txn_id"), "*"), "merges")
     moves = moved.join(merges.select("output", size_class(F.col("n_bytes"), policy).cast("int").alias("new_tier")), "output")
-    return Round(merges, moves.select("output", "new_tier", "item", "project", "path", "hash", "size", "tier"), dropped)
+    return Round(merges, moves.select("output", "new_tier", "item", "project", "path", "hash", "size", "tier"))
+
+
+def items_after(items: DataFrame, done: Round, policy: TierPolicy = DEFAULT_POLICY) -> DataFrame:
+    """The items once a round is done."""
+    new = done.merges.select(F.col("output").alias("item"), "project", F.col("n_bytes").alias("size"), size_class(F.col("n_bytes"), policy).cast("int").alias("tier"))
+    return items.join(done.moves.select("item"), "item", "left_anti").unionByName(_as_items(new)).where(F.col("size") < policy.bounds[-1])
 
 
 class CompactionStore:
@@ -232,42 +256,49 @@ class CompactionStore:
 
     def run(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> int | None:
         """One round; its number, or None if nothing was due or dropped."""
-        return self._run(written(live_files(objects, policy), "live"), contents, policy)
+        return next(self._rounds(objects, contents, policy), None)
 
-    def _run(self, files: DataFrame, contents: DataFrame, policy: TierPolicy) -> int | None:
-        number, entry = self.commits.newest() + 1, self._entry()
-        members = self.packs(entry)
-        plan = plan_round(files, members if members is None else members.drop("bytes"), number, policy)
-        merges, dropped = not plan.merges.isEmpty(), not plan.dropped.isEmpty()
-        if not merges and not dropped:
-            return None
+    def compact(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> list[int]:
+        """Rounds until nothing is due; their numbers."""
+        return list(self._rounds(objects, contents, policy))
+
+    def _rounds(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy) -> Iterator[int]:
+        """The first round finds out where the live files are; the others go on from what it has left."""
+        members = self.packs()
+        items, dropped = locate(written(live_files(objects, policy), "live"), members if members is None else members.drop("bytes"))
+        directories = True  # what is due in a directory is due at once
+        while True:
+            number, entry = self.commits.newest() + 1, self._entry()
+            plan = plan_round(items, number, policy, directories)
+            if not self._publish(number, entry, plan, dropped if directories else None, contents):
+                return
+            yield number
+            items, directories = written(items_after(items, plan, policy), "items"), False
+
+    def _publish(self, number: int, entry: dict, plan: Round, dropped: DataFrame | None, contents: DataFrame) -> bool:
+        merges, drops = not plan.merges.isEmpty(), dropped is not None and not dropped.isEmpty()
+        if not merges and not drops:
+            return False
         own = self.commits.own_folder(number)
         packs = f"{self.root}/packs/round={os.path.basename(own)}"
         if merges:
             loose = plan.moves.where(F.col("path").isNotNull()).withColumn("_k", F.lower(F.trim("hash"))).join(_blobs(contents), F.col("_k") == F.col("_c"), "left")
             rows = loose.select(F.col("output").alias("pack_id"), "project", "path", "hash", "size", "bytes", F.col("new_tier").alias("tier"))
             repacked = plan.moves.where(F.col("path").isNull())
-            if members is not None and (tiers := [r[0] for r in repacked.select("tier").distinct().collect()]):  # at most one for each bound
+            if tiers := [r[0] for r in repacked.select("tier").distinct().collect()]:  # at most one for each bound
                 new = repacked.select(F.col("item").alias("pack_id"), "output", "new_tier")
-                old = self.packs(entry, plan.dropped).where(F.col("tier").isin(tiers)).drop("tier").join(new, "pack_id")
+                old = self.packs(entry, dropped).where(F.col("tier").isin(tiers)).drop("tier").join(new, "pack_id")
                 rows = rows.unionByName(old.select(F.col("output").alias("pack_id"), "project", "path", "hash", "size", "bytes", F.col("new_tier").alias("tier")))
             # A pack is bounded, and packs of a finished tier aren't read again by later rounds.
             rows.repartition("pack_id").sortWithinPartitions("tier", "pack_id", "path").write.partitionBy("tier").parquet(packs)
             plan.merges.write.parquet(f"{own}/merges")
             plan.moves.select("output", F.col("item").alias("input")).write.parquet(f"{own}/inputs")
-        if dropped:
-            plan.dropped.write.parquet(f"{own}/dropped")
+        if drops:
+            dropped.write.parquet(f"{own}/dropped")
         wrote = {"packs": packs, "merges": f"{own}/merges", "inputs": f"{own}/inputs"} if merges else {}
-        wrote |= {"dropped": f"{own}/dropped"} if dropped else {}
+        wrote |= {"dropped": f"{own}/dropped"} if drops else {}
         self.commits.publish(number, {kind: [*paths, *([wrote[kind]] if kind in wrote else [])] for kind, paths in entry.items()})
-        return number
-
-    def compact(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> list[int]:
-        """Rounds until nothing is due."""
-        done, files = [], written(live_files(objects, policy), "live")
-        while (number := self._run(files, contents, policy)) is not None:
-            done.append(number)
-        return done
+        return True
 
     def vacuum(self) -> list[str]:
         """Removes the pack folders in which every pack was merged into another; readers of older entries lose them."""
