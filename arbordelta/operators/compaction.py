@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from arbordelta.schema import DIR_BIT, LINK_BIT
 from arbordelta.sources.commits import Commits
-from arbordelta.sources.scratch import written
+from arbordelta.sources.scratch import scratch_scope, written
 
 
 @dataclass(frozen=True)
@@ -256,7 +256,11 @@ class CompactionStore:
 
     def run(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> int | None:
         """One round; its number, or None if nothing was due or dropped."""
-        return next(self._rounds(objects, contents, policy), None)
+        rounds = self._rounds(objects, contents, policy)
+        try:
+            return next(rounds, None)
+        finally:
+            rounds.close()
 
     def compact(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy = DEFAULT_POLICY) -> list[int]:
         """Rounds until nothing is due; their numbers."""
@@ -264,16 +268,18 @@ class CompactionStore:
 
     def _rounds(self, objects: DataFrame, contents: DataFrame, policy: TierPolicy) -> Iterator[int]:
         """The first round finds out where the live files are; the others go on from what it has left."""
-        members = self.packs()
-        items, dropped = locate(written(live_files(objects, policy), "live"), members if members is None else members.drop("bytes"))
-        directories = True  # what is due in a directory is due at once
-        while True:
-            number, entry = self.commits.newest() + 1, self._entry()
-            plan = plan_round(items, number, policy, directories)
-            if not self._publish(number, entry, plan, dropped if directories else None, contents):
-                return
-            yield number
-            items, directories = written(items_after(items, plan, policy), "items"), False
+        with scratch_scope():
+            members = self.packs()
+            items, dropped = locate(written(live_files(objects, policy), "live"), members if members is None else members.drop("bytes"))
+            directories = True  # what is due in a directory is due at once
+            while True:
+                with scratch_scope(keep=1):
+                    number, entry = self.commits.newest() + 1, self._entry()
+                    plan = plan_round(items, number, policy, directories)
+                    if not self._publish(number, entry, plan, dropped if directories else None, contents):
+                        return
+                    items, directories = written(items_after(items, plan, policy), "items"), False
+                yield number
 
     def _publish(self, number: int, entry: dict, plan: Round, dropped: DataFrame | None, contents: DataFrame) -> bool:
         merges, drops = not plan.merges.isEmpty(), dropped is not None and not dropped.isEmpty()

@@ -47,13 +47,14 @@ def _remove_all() -> None:
 
 
 @contextmanager
-def scratch_scope() -> Iterator[None]:
-    """Removes, at its end, the scratch tables that were made within: for work whose result has been written elsewhere."""
+def scratch_scope(keep: int = 0) -> Iterator[None]:
+    """Removes, at its end, the scratch tables that were made within, but the last `keep`: for work whose result has been written elsewhere."""
     before = {path for _, path in _KEPT}
     try:
         yield
     finally:
-        for spark, path in [k for k in _KEPT if k[1] not in before]:
+        made = [k for k in _KEPT if k[1] not in before]
+        for spark, path in made[:len(made) - keep]:
             _remove(spark, path)
             _KEPT.remove((spark, path))
 
