@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEPT: list[tuple[SparkSession, str]] = []
+#: path -> (session, thread that made it); a scope is of one thread.
+_KEPT: dict[str, tuple[SparkSession, int]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,26 +45,28 @@ def _remove(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _remove_all() -> None:
     while _KEPT:
-        _remove(*_KEPT.pop())
+        path, (spark, _) = _KEPT.popitem()
+        _remove(spark, path)
 
 
 @contextmanager
 def scratch_scope(keep: int = 0) -> Iterator[None]:
     """Removes, at its end, the scratch tables that were made within, but the last `keep`: for work whose result has been written elsewhere."""
-    before = {path for _, path in _KEPT}
+    before = set(_KEPT)
     try:
         yield
     finally:
-        made = [k for k in _KEPT if k[1] not in before]
-        for spark, path in made[:len(made) - keep]:
+        own = threading.get_ident()
+        made = [path for path, (_, thread) in list(_KEPT.items()) if thread == own and path not in before]
+        for path in made[:len(made) - keep]:
+            spark, _ = _KEPT.pop(path)
             _remove(spark, path)
-            _KEPT.remove((spark, path))
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared folder, removed at the end of the scope, or of the driver."""
     path = f"{shared_folder(spark)}/arbordelta/{name}-{uuid.uuid4().hex}"
-    _KEPT.append((spark, path))
+    _KEPT[path] = spark, threading.get_ident()
     return path
 
 
